@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import langid, packing, pii, quality, secrets, simhash
+from papyrine.llm import bpe, langid, packing, pii, quality, secrets, simhash
 from papyrine.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -35,5 +40,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_pii, op4_packing, op6_simhash, op9_langid, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_pii, op4_packing, op6_simhash, op9_langid, op10_quality)}
 ORACLES: dict[str, str] = {}
