@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from papyrine.llm.common import materialize, sample_docs
 
-CENTROIDS = 16
+CENTROIDS = 32
 SAMPLE = 20_000
 UNITS = 128
 
@@ -73,6 +73,22 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
+def units_of(sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """First unit and number of units of each cell: small cells share a unit, a full cell is dealt over several of its own."""
+    unit = max(64, math.ceil(sum(sizes.values()) / UNITS))
+    base, parts, at, room = {}, {}, 0, unit
+    for cell in sorted(sizes):
+        n = sizes[cell]
+        if n > unit:
+            base[cell], parts[cell] = at + (room < unit), math.ceil(n / unit)
+            at, room = base[cell] + parts[cell], unit
+            continue
+        if n > room:
+            at, room = at + 1, unit
+        base[cell], parts[cell], room = at, 1, room - n
+    return base, parts
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows whose vector is neither null nor zero, has only finite components, and is as long as most are."""
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -81,7 +97,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.size("embedding") == (size.n if size else 0))
 
 
-def search(vectors: DataFrame, every: int = 50, top: int = 5, share: float = 0.35, least: int = 2000) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, top: int = 5, share: float = 0.55, least: int = 2000) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest rows of each row whose vec_id is divisible by `every`.
 
     A query looks at the nearest cells that hold `share` of the rows, `least` at least. Nearest first, ties to the
@@ -105,40 +121,48 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, share: float = 0.3
     stored = materialize(numbered.mapInArrow(assign, "vec_id long, row long, embedding array<float>, cell int"), "cells")
     sizes = {r.cell: r["count"] for r in stored.groupBy("cell").count().collect()}
     total = sum(sizes.values())
-    enough, unit = max(least, math.ceil(share * total)), max(64, math.ceil(total / UNITS))
-    parts = {c: math.ceil(n / unit) for c, n in sizes.items()}
+    enough = max(least, math.ceil(share * total))
+    base, parts = units_of(sizes)
 
     def route(batches):
+        """A row for each query and unit it visits, with the cells it visits there."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             first, second = index.distances(matrix(batch.column(1)))
-            rows, cells = [], []
+            rows, units, cells = [], [], []
             for i in range(batch.num_rows):
+                visited: dict[int, list[int]] = {}
                 for cell in index.walk(first[i], second[i], sizes, enough):
-                    rows += [i] * parts[cell]
-                    cells += [cell * 65536 + p for p in range(parts[cell])]
+                    for p in range(parts[cell]):
+                        visited.setdefault(base[cell] + p, []).append(cell)
+                rows += [i] * len(visited)
+                units += visited.keys()
+                cells += visited.values()
             picked = batch.take(pa.array(rows, pa.int64()))
             for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([*picked.slice(at, 20_000).columns, pa.array(cells[at : at + 20_000], pa.int64())], names=["row", "embedding", "unit"])
+                yield pa.RecordBatch.from_arrays([*picked.slice(at, 20_000).columns, pa.array(units[at : at + 20_000], pa.int32()), pa.array(cells[at : at + 20_000], pa.list_(pa.int32()))], names=["row", "embedding", "unit", "cells"])
 
-    queries = stored.where(F.col("vec_id") % every == 0).select("row", "embedding").mapInArrow(route, "row long, embedding array<float>, unit long")
-    spread = F.create_map(*[F.lit(x) for c in sorted(parts) for x in (c, parts[c])])
-    dealt = stored.withColumn("unit", F.col("cell").cast("long") * 65536 + F.pmod(F.xxhash64("row"), F.element_at(spread, F.col("cell"))))
+    queries = stored.where(F.col("vec_id") % every == 0).select("row", "embedding").mapInArrow(route, "row long, embedding array<float>, unit int, cells array<int>")
+    of_cell = lambda values: F.element_at(F.create_map(*[F.lit(x) for c in sorted(values) for x in (c, values[c])]), F.col("cell"))
+    dealt = stored.withColumn("unit", (of_cell(base) + F.pmod(F.xxhash64("row"), of_cell(parts))).cast("int"))
 
     def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
         names = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not asked.num_rows or not held.num_rows:
             return names.empty_table()
-        x, rows, ids = matrix(held["embedding"]), held["row"].to_numpy(), held["vec_id"].to_numpy()
+        x, rows, ids, cell = matrix(held["embedding"]), held["row"].to_numpy(), held["vec_id"].to_numpy(), held["cell"].to_numpy()
         length = np.linalg.norm(x, axis=1)
         found: list[tuple] = []
-        own = asked["row"].to_numpy()
+        own, visits = asked["row"].to_numpy(), asked["cells"].to_pylist()
         q = matrix(asked["embedding"])
-        for at in range(0, len(q), 1024):
-            part = q[at : at + 1024]
+        for at in range(0, len(q), 512):
+            part = q[at : at + 512]
+            open_cells = np.zeros((len(part), index.k * index.k), dtype=bool)
+            for i, listed in enumerate(visits[at : at + 512]):
+                open_cells[i, listed] = True
             near = (part @ x.T) / (np.linalg.norm(part, axis=1)[:, None] * length)
-            near[own[at : at + 1024, None] == rows] = -np.inf
+            near[(own[at : at + 512, None] == rows) | ~open_cells[:, cell]] = -np.inf
             for i, line in enumerate(near):
                 cut = np.partition(line, -top)[-top] if len(line) > top else -np.inf
                 some = np.flatnonzero((line >= cut) & (line > -np.inf))
@@ -146,7 +170,7 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, share: float = 0.3
                 found.append((np.full(len(best), own[at + i]), ids[best], line[best]))
         return pa.table([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], schema=names)
 
-    near = queries.groupBy("unit").cogroup(dealt.select("unit", "row", "vec_id", "embedding").groupBy("unit")).applyInArrow(rerank, "row long, vec_id long, score double")
+    near = queries.groupBy("unit").cogroup(dealt.select("unit", "row", "vec_id", "embedding", "cell").groupBy("unit")).applyInArrow(rerank, "row long, vec_id long, score double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
     asked = stored.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"))
     return ranked.join(asked, "row").select("query_id", F.col("rank").cast("int"), "vec_id", "score")
