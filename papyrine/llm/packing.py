@@ -19,43 +19,82 @@ from pyspark.sql import functions as F
 
 WINDOW = 4096
 BLOCK_TOKENS = 2_000_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 500_000
+CACHE_WORDS = 400_000
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _odd = re.compile("[\x1c-\x1f]")
+_lettered = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=-@\\[-`{-~]*)")
 _tokenizers: dict[str, "ChunkTokenizer"] = {}
 
 
+class Aged:
+    """A bounded cache of two generations: a full one ages, what is met again moves to the next."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Of the keys those without a value; the others are in `now` until the next call."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        wanted = keys.difference(self.now)
+        met = wanted.intersection(self.before)
+        self.now.update((k, self.before[k]) for k in met)
+        return wanted.difference(met)
+
+
 class ChunkTokenizer:
     """Token ids of whole texts through a cache of white-space separated chunks.
 
     The vocabulary drops white space before its merges, so chunks are independent. Python splits at four control
-    characters that are not white space to the tokenizer; texts with one of these are encoded whole.
+    characters that are not white space to the tokenizer; texts with one of these are encoded whole. A chunk of Latin-1
+    letters with other marks behind them is two words to the tokenizer, and letters are lower-cased first, so its ids
+    are those of its lower-case letters, cached by themselves, and of its tail.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks, self.words = Aged(CACHE_CHUNKS), Aged(CACHE_WORDS)
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def learn_words(self, words: list[str]) -> None:
+        """Ids of lower-case words, many at a time; a word ends with the only id that carries the end mark."""
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                self.words.now.update((w, self.encode(w)) for w in part)
+                continue
+            raw = ids.tobytes()
+            self.words.now.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(part, [0, *cuts], cuts))
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def learn(self, fresh: set[str]) -> None:
+        parts = {c: (m[1].lower(), m[2]) for c in fresh if (m := _lettered.fullmatch(c))}
+        self.learn_words(list(self.words.missing({w for w, _ in parts.values()})))
+        words, tails, now = self.words.now, {"": b""}, self.chunks.now
+        for c, (word, tail) in parts.items():
+            if tail not in tails:
+                tails[tail] = self.encode(tail)
+            now[c] = words[word] + tails[tail]
+        now.update((c, self.encode(c)) for c in fresh if c not in parts)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
         split = [t.split() if t and not _odd.search(t) else None for t in texts]
-        if len(self.seen) > CACHE_CHUNKS:
-            self.seen = {}
-        seen = self.seen
-        fresh = [c for c in dict.fromkeys(c for s in split if s for c in s) if c not in seen]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                seen[chunk] = np.array(enc.ids, dtype="<u2").tobytes()
-        out = []
+        self.learn(self.chunks.missing(set().union(*(s for s in split if s))))
+        now, out = self.chunks.now, []
         for text, chunks in zip(texts, split):
-            if chunks is not None:
-                out.append(b"".join(map(seen.__getitem__, chunks)))
-            else:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes() if text else b"")
+            out.append(b"".join(map(now.__getitem__, chunks)) if chunks is not None else self.encode(text) if text else b"")
         return out
 
 
@@ -73,15 +112,18 @@ class Index:
         doc = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
         pair, count = np.unique((doc << 16) | np.concatenate(ids), return_counts=True)
         doc, term = pair >> 16, pair & 0xFFFF
+        df = np.bincount(term, minlength=1 << 16)
+        # A term of half the documents or more has no weight, as the logarithm is negative there.
+        idf = np.maximum(0, np.log((len(ids) - df + 0.5) / (df + 0.5)))
+        telling = idf[term] > 0
+        doc, term, count = doc[telling], term[telling], count[telling]
         self.forward_ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ids)))])
         self.forward = term
-        df = np.bincount(term, minlength=1 << 16)
-        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
         weight = idf[term] * count * (K1 + 1) / (count + norm[doc])
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.ends = np.concatenate([[0], np.cumsum(df)])
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=1 << 16))])
         self.n = len(ids)
 
     def scores(self, seed: int) -> np.ndarray:
