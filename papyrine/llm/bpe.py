@@ -1,85 +1,154 @@
 """Byte-level BPE in Spark's higher-order functions: ranked merges fold over the bytes of distinct words.
 
-The rank map is a literal: 2^16 buckets by xxhash64 of a byte string, each a short array of (bytes, rank), so a look-up
-costs one array access however many ranks there are. Two levels of distinct words keep folds rare: a cache literal of
-frequent words (bounded; it changes the cost, never the result), and the distinct rest of each document.
+The rank map is a literal: the pairs of tokens that merge, laid out by a perfect hash so that a look-up costs three array
+accesses however many pairs there are. Two levels of distinct words keep folds rare: a cache literal of frequent words
+(bounded; it changes the cost, never the result), and the distinct rest of each document.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
+import zlib
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from papyrine.llm.common import literal_of, materialize, sample_docs
+from papyrine.llm.common import let, literal_of, materialize, sample_docs
 
-RANK_BUCKETS = 1 << 16
-NO_RANK = 2**31 - 1
+ID_BITS = 17
+ID_MASK = (1 << ID_BITS) - 1
+NO_RANK = ID_MASK
+POS_BITS = 29
+BUCKETS = 1 << 16
+CACHE_WORDS = 1 << 18
+CACHE_BUCKETS = 1 << 19
 
 
-def read_ranks(path: str) -> list[tuple[bytes, int]]:
+def read_ranks(path: str) -> dict[bytes, int]:
     """The rank file's lines, base64 of the bytes and the rank."""
     with open(path, "rb") as f:
-        return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def bucket_literal(rows: DataFrame, buckets: int, value: str) -> Column:
-    """A literal array of `buckets` arrays of (k, value), k's bucket being its xxhash64 modulo their number."""
-    filled = rows.groupBy(F.xxhash64("k").bitwiseAND(F.lit(buckets - 1).cast("long")).alias("bucket")).agg(F.collect_list(F.struct("k", F.col(value))).alias("cells"))
-    every = rows.sparkSession.range(0, buckets, 1, 1).withColumnRenamed("id", "bucket").join(filled, "bucket", "left")
-    cells = F.coalesce("cells", F.array().cast(filled.schema["cells"].dataType))
-    packed = every.groupBy().agg(F.collect_list(F.struct("bucket", cells.alias("cells"))).alias("all"))
-    return literal_of(packed.select(F.transform(F.sort_array("all"), lambda x: x["cells"]).alias("v")))
+def array_literal(spark: SparkSession, values, kind: pa.DataType, sql: str) -> Column:
+    """A literal array of a driver-side list, in Spark's compact binary form."""
+    return literal_of(spark.createDataFrame(pa.table({"v": pa.array([values], pa.list_(kind))})).select(F.col("v").cast(f"array<{sql}>")))
+
+
+def hash_of(key: int) -> int:
+    """XXH64 with seed 42 of a long, as Spark's xxhash64 has it."""
+    return xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+
+
+def displaced(keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A perfect hash: displacements by hash modulo BUCKETS, and the slot of each key, in a table of a power of two.
+
+    Full buckets choose first; each takes the first displacement that puts all its keys on free slots.
+    """
+    size = 1 << (2 * len(keys)).bit_length()
+    hashes = np.array([hash_of(k) for k in keys], dtype=np.uint64)
+    bucket, base = (hashes & np.uint64(BUCKETS - 1)).astype(int), ((hashes >> np.uint64(20)) & np.uint64(size - 1)).astype(int)
+    order = np.argsort(bucket, kind="stable")
+    counts = np.bincount(bucket, minlength=BUCKETS)
+    ends = np.cumsum(counts)
+    free, shift, slots = np.ones(size, dtype=bool), np.zeros(BUCKETS, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+    for b in np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]:
+        own = order[ends[b] - counts[b] : ends[b]]
+        d = 0
+        while True:
+            at = (base[own] + d) & (size - 1)
+            if free[at].all() and len(set(at.tolist())) == len(at):
+                break
+            d += 1
+            if d >= size:
+                raise RuntimeError("no displacement fits; two keys share a hash")
+        free[at], shift[b], slots[own] = False, d, at
+    return shift, slots
 
 
 class Vocabulary:
-    """The two literals of a rank file: bytes to rank, and rank to bytes in hexadecimal."""
+    """Literals of a rank file: ids of single bytes, the merging pairs, and the bytes of each rank in hexadecimal."""
 
     def __init__(self, spark: SparkSession, path: str):
         ranks = read_ranks(path)
-        schema = T.StructType([T.StructField("k", T.BinaryType()), T.StructField("rank", T.IntegerType())])
-        rows = spark.createDataFrame([(bytearray(k), r) for k, r in ranks], schema)
-        self.ranks = bucket_literal(rows, RANK_BUCKETS, "rank")
-        top = max(r for _, r in ranks)
-        pieces = [""] * (top + 1)
-        for k, r in ranks:
+        if max(ranks.values()) >= NO_RANK:
+            raise ValueError(f"ranks must stay below {NO_RANK}")
+        pairs = [(ranks[k[:i]] << ID_BITS | ranks[k[i:]], r) for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
+        shift, slots = displaced([k for k, _ in pairs])
+        self.size = 1 << (2 * len(pairs)).bit_length()
+        entries = np.full(self.size, -1, dtype=np.int64)
+        entries[slots] = [k << ID_BITS | r for k, r in pairs]
+        self.shift = array_literal(spark, shift.astype(np.int32), pa.int32(), "int")
+        self.entries = array_literal(spark, entries, pa.int64(), "bigint")
+        pieces = [""] * (max(ranks.values()) + 1)
+        for k, r in ranks.items():
             pieces[r] = k.hex()
-        self.hex = literal_of(spark.createDataFrame([(pieces,)], "v array<string>"))
-
-    def rank(self, piece: Column) -> Column:
-        """Rank of a byte string, NO_RANK if it has none."""
-        cells = F.get(self.ranks, F.xxhash64(piece).bitwiseAND(F.lit(RANK_BUCKETS - 1).cast("long")).cast("int"))
-        return F.aggregate(cells, F.lit(NO_RANK), lambda found, c: F.when(c["k"] == piece, c["rank"]).otherwise(found))
+        self.hex = array_literal(spark, pieces, pa.string(), "string")
+        # crc32 tells the 256 bytes apart by eight of its bits; Spark has no function from a byte to its number.
+        self.crc_shift = next(s for s in range(25) if len({zlib.crc32(bytes([b])) >> s & 255 for b in range(256)}) == 256)
+        single = [0] * 256
+        for b in range(256):
+            single[zlib.crc32(bytes([b])) >> self.crc_shift & 255] = ranks[bytes([b])]
+        self.single = array_literal(spark, single, pa.int64(), "bigint")
+
+    def rank(self, left: Column, right: Column) -> Column:
+        """Rank of a pair of ids, which is the id of what they merge to; NO_RANK if they do not merge."""
+        key = F.shiftleft(left, ID_BITS).bitwiseOR(right)
+        h = F.xxhash64(key)
+        slot = (F.shiftrightunsigned(h, 20) + F.get(self.shift, h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int"))).bitwiseAND(F.lit(self.size - 1).cast("long")).cast("int")
+        entry = F.get(self.entries, slot)
+        mask = F.lit(ID_MASK).cast("long")
+        return F.when(F.shiftright(entry, ID_BITS) == key, entry.bitwiseAND(mask)).otherwise(F.lit(NO_RANK).cast("long"))
 
     def merged(self, word: Column) -> Column:
         """Ids of one word: fold the merge of the adjacent pair of least rank, the leftmost on ties, until none is left.
 
-        The state is an array of (rank of the pair that starts here, position, bytes); a merge changes two ranks only.
+        The state is an array of longs, rank of the pair that starts here, then byte position, then id: its least
+        element is the next merge. A merge makes one element of two and changes the rank of the one before.
         """
         raw = word.cast("binary")
         size = F.octet_length(raw)
-        byte = lambda i: F.substring(raw, i, F.lit(1))
-        start = F.transform(
-            F.sequence(F.lit(1), size),
-            lambda i: F.struct(F.when(i < size, self.rank(F.substring(raw, i, F.lit(2)))).otherwise(F.lit(NO_RANK)).alias("r"), i.alias("p"), byte(i).alias("b")),
-        )
-
-        def merge_at(s: Column, i: Column) -> Column:
-            """s with its elements i and i + 1 (from 1) made one."""
-            joined = F.concat(F.get(s, i - 1)["b"], F.get(s, i)["b"])
-            left = F.get(s, i - 2)
-            whole = F.transform(F.array(joined), lambda b: F.struct(F.when(i + 1 < F.size(s), self.rank(F.concat(b, F.get(s, i + 1)["b"]))).otherwise(F.lit(NO_RANK)).alias("r"), F.get(s, i - 1)["p"].alias("p"), b.alias("b")))
-            before = F.when(i > 1, F.concat(F.slice(s, 1, i - 2), F.array(F.struct(self.rank(F.concat(left["b"], joined)).alias("r"), left["p"].alias("p"), left["b"].alias("b"))))).otherwise(F.slice(s, 1, F.lit(0)))
-            return F.concat(before, whole, F.slice(s, i + 2, F.size(s)))
+        mask = F.lit(ID_MASK).cast("long")
+        low, rest = F.lit((1 << (POS_BITS + ID_BITS)) - 1).cast("long"), F.lit(((1 << POS_BITS) - 1) << ID_BITS).cast("long")
+        top = POS_BITS + ID_BITS
+        ids = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(self.single, F.shiftright(F.crc32(F.substring(raw, i, F.lit(1))), self.crc_shift).bitwiseAND(F.lit(255).cast("long")).cast("int")))
+        no_rank = F.lit(NO_RANK << top).cast("long")
+
+        def made(rank: Column, where: Column) -> Column:
+            return F.shiftleft(rank, top).bitwiseOR(where)
+
+        start = let(ids, lambda x: F.transform(x, lambda v, i: made(F.when(i + 1 < size, self.rank(v, F.get(x, i + 1))).otherwise(F.lit(NO_RANK).cast("long")), F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(v))))
+
+        def merge_at(s: Column, i: Column, new: Column) -> Column:
+            """s with its elements i and i + 1 (from 1) made one, whose id is `new`."""
+            before, after = F.get(s, i - 2), F.get(s, i + 1)
+            own = F.get(s, i - 1).bitwiseAND(rest).bitwiseOR(new)
+            ranked = made(F.when(i + 1 < F.size(s), self.rank(new, after.bitwiseAND(mask))).otherwise(F.lit(NO_RANK).cast("long")), own)
+            tail = F.slice(s, i + 2, F.size(s))
+            return F.when(i > 1, F.concat(F.slice(s, 1, i - 2), F.array(made(self.rank(before.bitwiseAND(mask), new), before.bitwiseAND(low)), ranked), tail)).otherwise(F.concat(F.array(ranked), tail))
 
         def step(s: Column, _: Column) -> Column:
-            return F.get(F.transform(F.array(F.array_min(s)), lambda m: F.when(m["r"] == NO_RANK, s).otherwise(F.get(F.transform(F.array(F.array_position(s, m).cast("int")), lambda i: merge_at(s, i)), F.lit(0)))), F.lit(0))
+            return let(F.array_min(s), lambda m: F.when(m >= no_rank, s).otherwise(merge_at(s, F.array_position(s, m).cast("int"), F.shiftright(m, top))))
+
+        folded = F.aggregate(F.sequence(F.lit(2), size), start, step)
+        return F.transform(F.when(size > 1, folded).otherwise(start), lambda x: x.bitwiseAND(mask).cast("int"))
 
-        folded = F.aggregate(F.sequence(F.lit(1), size), start, step)
-        whole = self.rank(raw)
-        return F.when(whole != NO_RANK, F.array(whole)).otherwise(F.transform(folded, lambda x: self.rank(x["b"])))
+
+def bucket_of(word: Column, buckets: int) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(buckets - 1))
+
+
+def bucket_literal(rows: DataFrame, buckets: int) -> Column:
+    """A literal array of `buckets` (a power of two) arrays of (k, ids), by the hash of k."""
+    filled = rows.groupBy(bucket_of(F.col("k"), buckets).alias("bucket")).agg(F.collect_list(F.struct("k", "ids")).alias("cells"))
+    every = rows.sparkSession.range(0, buckets, 1, 1).withColumnRenamed("id", "bucket").join(filled, "bucket", "left")
+    cells = F.coalesce("cells", F.array().cast(filled.schema["cells"].dataType))
+    packed = every.groupBy().agg(F.collect_list(F.struct("bucket", cells.alias("cells"))).alias("all"))
+    return literal_of(packed.select(F.transform(F.sort_array("all"), lambda x: x["cells"]).alias("v")))
 
 
 def split_words(text: Column, pattern: str) -> Column:
@@ -87,34 +156,42 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def word_cache(docs: DataFrame, vocabulary: Vocabulary, pattern: str, sample_rows: int = 8000, words: int = 1 << 16) -> Column:
-    """A literal of the `words` most frequent words of about `sample_rows` documents with their ids; two bounds, no growth."""
-    counted = sample_docs(docs.select("doc_id", "text"), sample_rows).select(F.explode(split_words(F.col("text"), pattern)).alias("k")).groupBy("k").count()
-    common = counted.orderBy(F.desc("count"), "k").limit(words).select("k")
-    spread = materialize(common, "words").repartition(16, "k")
+def word_cache(docs: DataFrame, vocabulary: Vocabulary, pattern: str, sample_rows: int = 20_000, words: int = CACHE_WORDS) -> Column:
+    """A literal of the `words` most frequent words of about `sample_rows` documents with their ids; it does not grow."""
+    counted = sample_docs(docs.select("doc_id", "text"), sample_rows, limit=False).select(F.explode(split_words(F.col("text"), pattern)).alias("k")).groupBy("k").count()
+    common = counted.where(F.octet_length("k") <= 64).orderBy(F.desc("count"), "k").limit(words).select("k")
+    spread = materialize(common, "words").repartition(24, "k")
     encoded = materialize(spread.select("k", vocabulary.merged(F.col("k")).alias("ids")), "encoded")
-    return bucket_literal(encoded, words, "ids")
+    return bucket_literal(encoded, CACHE_BUCKETS)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, keep: tuple[str, ...] = ("doc_id",), cache: Column | None = None, cache_buckets: int = 1 << 16) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, keep: tuple[str, ...] = ("doc_id",), cache: Column | None = None, cache_buckets: int = CACHE_BUCKETS) -> DataFrame:
     """The columns in `keep` and `ids`, the token ids of each whole text, in one pass without a shuffle.
 
     A null or empty text has no ids. Repeated rows stay repeated; an empty table gives an empty result.
     """
     if cache is None:
-        cache = word_cache(docs, vocabulary, pattern, words=cache_buckets)
+        cache = word_cache(docs, vocabulary, pattern)
     own = [F.col(c).alias(f"_in_{c}") for c in keep]
-    kept = [F.col(f"_in_{c}") for c in keep]
 
     def cached(word: Column) -> Column:
-        cells = F.get(cache, F.xxhash64(word).bitwiseAND(F.lit(cache_buckets - 1).cast("long")).cast("int"))
-        return F.get(F.filter(cells, lambda c: c["k"] == word), F.lit(0))["ids"]
-
-    split = docs.select(*own, F.transform(split_words(F.col("text"), pattern), lambda w: F.struct(w.alias("w"), cached(w).alias("ids"))).alias("_words"))
-    missing = split.withColumn("_rest", F.array_distinct(F.transform(F.filter("_words", lambda x: x["ids"].isNull()), lambda x: x["w"])))
-    folded = missing.withColumn("_fold", F.transform("_rest", lambda w: vocabulary.merged(w)))
-    ids = F.flatten(F.transform("_words", lambda x: F.coalesce(x["ids"], F.get("_fold", F.array_position("_rest", x["w"]).cast("int") - 1))))
-    return folded.select(*kept, ids.alias("ids")).toDF(*keep, "ids")
+        """Ids of a cached word, or null."""
+        return F.get(F.filter(F.get(cache, bucket_of(word, cache_buckets)), lambda c: c["k"] == word), F.lit(0))["ids"]
+
+    split = F.transform(split_words(F.col("text"), pattern), lambda w: F.struct(w.alias("w"), cached(w).alias("ids")))
+    # Each step is bound by let(): a plain column that a lambda uses could be put into it by the optimizer, and be
+    # computed for each word.
+    ids = let(
+        split,
+        lambda words: let(
+            F.array_distinct(F.transform(F.filter(words, lambda x: x["ids"].isNull()), lambda x: x["w"])),
+            lambda rest: let(
+                F.transform(rest, lambda w: vocabulary.merged(w)),
+                lambda fold: F.flatten(F.transform(words, lambda x: F.coalesce(x["ids"], F.get(fold, F.array_position(rest, x["w"]).cast("int") - 1)))),
+            ),
+        ),
+    )
+    return docs.select(*own, ids.alias("ids")).toDF(*keep, "ids")
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:

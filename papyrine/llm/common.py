@@ -37,15 +37,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sample_docs(docs: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """About `rows` documents (at most twice as many), chosen by the hash of their id.
+def sample_docs(docs: DataFrame, rows: int, id_col: str = "doc_id", limit: bool = True) -> DataFrame:
+    """About `rows` documents, at most twice as many where `limit` is set, chosen by the hash of their id.
 
     Only for fitting models or caches on a bounded sample; results never depend on rows being left out.
     """
     total = docs.select(id_col).count()
     step = max(1, total // max(1, rows))
     chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(step)) == 0) if step > 1 else docs
-    return chosen.limit(2 * rows)
+    return chosen.limit(2 * rows) if limit else chosen
 
 
 def literal_of(df: DataFrame) -> Column:
@@ -59,6 +59,11 @@ def literal_of(df: DataFrame) -> Column:
     return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for the row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); component is the smallest node reachable.
 
