@@ -21,6 +21,7 @@ from papyrine.llm.common import materialize, new_path
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 4 << 20
 READ = 1 << 20
+MOST_TASKS = 20_000
 LEAST_REVISIT = 1000
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -174,7 +175,9 @@ def parse(data: bytes) -> dict:
 
 def read_archives(manifest: DataFrame, folder: str, split: int = SPLIT, payloads: bool = True) -> DataFrame:
     """The records of the files in (path, size): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
-    ranges = manifest.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start")).repartition("path", "start")
+    ranges = manifest.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
+    total = manifest.agg(F.sum("size")).head()[0] or 0
+    ranges = ranges.repartition(min(MOST_TASKS, total // split + 1), "path", "start")  # a fixed number: rows are few, work is not
     names = [x.split()[0] for x in RECORDS.split(", ")]
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
