@@ -65,10 +65,19 @@ def clean_text(x: Text) -> Column:
     return y
 
 
+def _plain(s: str | None) -> str | None:
+    return s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+
+
 @F.pandas_udf(T.StringType())
 def _decompose(values: pd.Series) -> pd.Series:
-    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-    return values.map(lambda s: s if s is None or s.isascii() else plain(s))
+    return values.map(_plain)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def decompose_all(lists: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks of every text in a list."""
+    return lists.map(lambda xs: None if xs is None else [_plain(x) for x in xs])
 
 
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
