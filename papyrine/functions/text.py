@@ -13,7 +13,7 @@ from papyrine.functions import constants as C
 
 DOI = r"10\.\d{4,9}/[-._;()/:a-zA-Z0-9]+"
 DOI_PAIR = rf"(?i)(?:(?<=doi\.org/|doi:\s{{0,6}}|doi\s{{0,7}})({DOI})|({DOI}))"
-YEAR_CONTEXT = r"(?s)(?<=(\A.{0,39}|.{40}))\b((?:19|20)\d{2})\b(?=(.{0,40}))"
+YEAR_CONTEXT = r"(?s)\b((?:19|20)\d{2})\b(?<=(\A.{0,43}|.{44}))(?=(.{0,40}))"
 AFFILIATION = r"(?:[\s,]*(?:\d+|[*†‡§¶]|(?<=[\s,])[a-z](?![a-z])))+\s*$"
 WORD = "[A-Za-zÀ-ÿ]{2,}"
 CAPTION = r"(?iu)^\s*(figure|fig\.?|scheme|table|таблица|рисунок|рис\.?|схема)\s*(S?\d+[a-z]?)"
@@ -161,9 +161,9 @@ def find_doi(text: Text) -> Column:
 def guess_year(text: Text, as_of_year: int) -> Column:
     """Latest plausible year beside a publication phrase, else the latest plausible one; as_of_year stands for today."""
     x = F.coalesce(col(text), F.lit(""))
-    before, year, after = (F.regexp_extract_all(x, F.lit(YEAR_CONTEXT), F.lit(i)) for i in (1, 2, 3))
-    zipped = F.arrays_zip(before.alias("b"), year.alias("y"), after.alias("a"))
-    told = F.transform(zipped, lambda z: F.struct(z["y"].cast("int").alias("year"), contains_any(F.lower(F.concat(z["b"], z["y"], z["a"])), C.YEAR_ANCHORS).alias("anchored")))
+    year, upto, after = (F.regexp_extract_all(x, F.lit(YEAR_CONTEXT), F.lit(i)) for i in (1, 2, 3))
+    zipped = F.arrays_zip(year.alias("y"), upto.alias("u"), after.alias("a"))
+    told = F.transform(zipped, lambda z: F.struct(z["y"].cast("int").alias("year"), contains_any(F.lower(F.concat(z["u"], z["a"])), C.YEAR_ANCHORS).alias("anchored")))
     plausible = F.filter(told, lambda t: t["year"].between(1900, as_of_year + 1))
     return let(plausible, lambda p: F.coalesce(F.array_max(F.transform(F.filter(p, lambda t: t["anchored"]), lambda t: t["year"])), F.array_max(F.transform(p, lambda t: t["year"]))))
 
