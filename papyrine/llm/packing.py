@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 4096
-BLOCK_TOKENS = 2_000_000
-CACHE_CHUNKS = 500_000
-CACHE_WORDS = 400_000
+BLOCK_TOKENS = 1_000_000
+CACHE_WORDS = 500_000
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-_odd = re.compile("[\x1c-\x1f]")
-_lettered = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=-@\\[-`{-~]*)")
-_tokenizers: dict[str, "ChunkTokenizer"] = {}
+_LETTERS, _NUMBERS, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+_match = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+").findall
+_wide = re.compile("[^\\x00-\\xff]").search
+_tokenizers: dict[str, "WordTokenizer"] = {}
 
 
 class Aged:
@@ -44,63 +44,55 @@ class Aged:
         return wanted.difference(met)
 
 
-class ChunkTokenizer:
-    """Token ids of whole texts through a cache of white-space separated chunks.
+class WordTokenizer:
+    """Token ids of whole texts through a bounded cache of words.
 
-    The vocabulary drops white space before its merges, so chunks are independent. Python splits at four control
-    characters that are not white space to the tokenizer; texts with one of these are encoded whole. A chunk of Latin-1
-    letters with other marks behind them is two words to the tokenizer, and letters are lower-cased first, so its ids
-    are those of its lower-case letters, cached by themselves, and of its tail.
+    The tokenizer lower-cases, composes, drops white space and merges within the matches of its own pattern. For a text
+    of Latin-1 characters, where lower case and composition are plain, the same matches are taken here, and only words
+    that the cache lacks reach the tokenizer, many at a time. Other texts, and those that may hold one of its added
+    tokens, are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.words = Aged(CACHE_CHUNKS), Aged(CACHE_WORDS)
+        self.tokenizer, self.words = Tokenizer.from_file(path), Aged(CACHE_WORDS)
         self.ends = np.zeros(1 << 16, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
-    def learn_words(self, words: list[str]) -> None:
-        """Ids of lower-case words, many at a time; a word ends with the only id that carries the end mark."""
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def learn(self, fresh: set[str]) -> None:
+        """Ids of new words: letters together, a word ends with the only id that carries the end mark; others alone."""
+        now = self.words.now
+        letters = [w for w in fresh if w.isalpha()]
+        now.update((w, self.encode(w)) for w in fresh if not w.isalpha())
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(part) or cuts[-1] != len(ids):
-                self.words.now.update((w, self.encode(w)) for w in part)
+                now.update((w, self.encode(w)) for w in part)
                 continue
             raw = ids.tobytes()
-            self.words.now.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(part, [0, *cuts], cuts))
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def learn(self, fresh: set[str]) -> None:
-        parts = {c: (m[1].lower(), m[2]) for c in fresh if (m := _lettered.fullmatch(c))}
-        self.learn_words(list(self.words.missing({w for w, _ in parts.values()})))
-        words, tails, now = self.words.now, {"": b""}, self.chunks.now
-        for c, (word, tail) in parts.items():
-            if tail not in tails:
-                tails[tail] = self.encode(tail)
-            now[c] = words[word] + tails[tail]
-        now.update((c, self.encode(c)) for c in fresh if c not in parts)
+            now.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(part, [0, *cuts], cuts))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
-        split = [t.split() if t and not _odd.search(t) else None for t in texts]
-        self.learn(self.chunks.missing(set().union(*(s for s in split if s))))
-        now, out = self.chunks.now, []
-        for text, chunks in zip(texts, split):
-            out.append(b"".join(map(now.__getitem__, chunks)) if chunks is not None else self.encode(text) if text else b"")
+        split = [_match(t.lower()) if t and "<|" not in t and not _wide(t) else None for t in texts]
+        self.learn(self.words.missing(set().union(*(s for s in split if s))))
+        now, out = self.words.now, []
+        for text, words in zip(texts, split):
+            out.append(b"".join(map(now.__getitem__, words)) if words is not None else self.encode(text) if text else b"")
         return out
 
 
-def tokenizer_for(path: str) -> ChunkTokenizer:
+def tokenizer_for(path: str) -> WordTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
