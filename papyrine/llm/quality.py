@@ -89,7 +89,7 @@ def keep_good(docs: DataFrame, most_lost: float = 0.6) -> DataFrame:
     """The documents, their own columns kept, that pass; their texts without the failing lines, n_chars counted anew."""
     names = docs.columns
     # A filter does not pass a projection with a row number; else the optimizer would repeat the whole measure in it.
-    good = measure(docs, tuple(names), most_lost).withColumn("_row", F.monotonically_increasing_id()).where("kept").select(*names)
+    good = measure(docs, tuple(names), most_lost).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").select(*names)
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~line_fails(x)), "\n")
     cleaned = good.withColumn("text", F.when(F.col("text").isNotNull(), left))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else cleaned
