@@ -87,9 +87,12 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most_lost: flo
 
 def keep_good(docs: DataFrame, most_lost: float = 0.6) -> DataFrame:
     """The documents, their own columns kept, that pass; their texts without the failing lines, n_chars counted anew."""
-    names = docs.columns
+    own = docs.columns
+    hidden = [f"_c{i}" for i in range(len(own))]  # whatever the columns are called
+    keyed = docs.select("text", *[F.col(c).alias(h) for c, h in zip(own, hidden)])
     # A filter does not pass a projection with a row number; else the optimizer would repeat the whole measure in it.
-    good = measure(docs, tuple(names), most_lost).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").select(*names)
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~line_fails(x)), "\n")
-    cleaned = good.withColumn("text", F.when(F.col("text").isNotNull(), left))
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else cleaned
+    good = measure(keyed, tuple(hidden), most_lost).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+    text = F.col(hidden[own.index("text")])
+    left = F.when(text.isNotNull(), F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n"))
+    cleaned = good.select(*[(left if c == "text" else F.col(h)).alias(c) for c, h in zip(own, hidden)])
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else cleaned

@@ -167,11 +167,20 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) ->
     Of rows that repeat that doc_id one stays; of a group without any doc_id one row stays.
     """
     own = docs.columns
-    everything = fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), shingle, (*own, "_row"))
-    stored = materialize(everything, "numbered")
-    marked = stored.select("doc_id", "_row", "fp")
+    hidden = [f"_c{i}" for i in range(len(own))]  # whatever the columns are called
+    renamed = docs.select(*[F.col(c).alias(h) for c, h in zip(own, hidden)], F.monotonically_increasing_id().alias("_row"))
+    text = own.index("text")
+
+    def run(batches):
+        for batch in batches:
+            signed = np.array([fingerprint(t, shingle) for t in batch.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed)], names=[*hidden, "_row", "fp"])
+
+    stored = materialize(renamed.mapInArrow(run, T.StructType([*renamed.schema.fields, T.StructField("fp", T.LongType())])), "numbered")
+    marked = stored.select(F.col(hidden[own.index("doc_id")]).alias("doc_id"), "_row", "fp")
     best = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("best"))
     distinct = materialize(best.select("fp", F.col("best.row").alias("row"), F.col("best").alias("first")), "distinct")
     named = classes(distinct.select("fp", "first"), radius)
     chosen = materialize(named.select(F.col("component_id.row").alias("_row")).distinct(), "chosen")
-    return stored.join(chosen, "_row", "left_semi").select(*own)
+    kept = stored.join(chosen, "_row", "left_semi")
+    return kept.select(*[F.col(h).alias(c) for c, h in zip(own, hidden)])
