@@ -182,5 +182,5 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) ->
     distinct = materialize(best.select("fp", F.col("best.row").alias("row"), F.col("best").alias("first")), "distinct")
     named = classes(distinct.select("fp", "first"), radius)
     chosen = materialize(named.select(F.col("component_id.row").alias("_row")).distinct(), "chosen")
-    kept = stored.join(chosen, "_row", "left_semi")
+    kept = stored.join(chosen.hint("shuffle_hash"), "_row", "left_semi")  # one plan at every size: rows are dealt, not broadcast
     return kept.select(*[F.col(h).alias(c) for c, h in zip(own, hidden)])
