@@ -24,8 +24,7 @@ ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = ID_MASK
 POS_BITS = 29
 BUCKETS = 1 << 16
-CACHE_WORDS = 1 << 18
-CACHE_BUCKETS = 1 << 19
+CACHE_WORDS = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,23 +38,29 @@ def array_literal(spark: SparkSession, values, kind: pa.DataType, sql: str) -> C
     return literal_of(spark.createDataFrame(pa.table({"v": pa.array([values], pa.list_(kind))})).select(F.col("v").cast(f"array<{sql}>")))
 
 
-def hash_of(key: int) -> int:
-    """XXH64 with seed 42 of a long, as Spark's xxhash64 has it."""
-    return xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+def hash_of(data: bytes) -> int:
+    """Spark's xxhash64: of a string's bytes, or of a long as eight little-endian bytes."""
+    return xxhash.xxh64_intdigest(data, seed=42)
 
 
-def displaced(keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """A perfect hash: displacements by hash modulo BUCKETS, and the slot of each key, in a table of a power of two.
+def slot_of(value: Column, shift: Column, size: int) -> Column:
+    """Where a perfect hash puts a value."""
+    h = F.xxhash64(value)
+    return (F.shiftrightunsigned(h, 20) + F.get(shift, h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int"))).bitwiseAND(F.lit(size - 1).cast("long")).cast("int")
 
-    Full buckets choose first; each takes the first displacement that puts all its keys on free slots.
+
+def displaced(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """A perfect hash of 64-bit hashes: displacements by hash modulo BUCKETS, the slot of each, the table's size.
+
+    The size is a power of two. Full buckets choose first; each takes the first displacement that puts all its keys on
+    free slots.
     """
-    size = 1 << (2 * len(keys)).bit_length()
-    hashes = np.array([hash_of(k) for k in keys], dtype=np.uint64)
+    size = 1 << (2 * len(hashes)).bit_length()
     bucket, base = (hashes & np.uint64(BUCKETS - 1)).astype(int), ((hashes >> np.uint64(20)) & np.uint64(size - 1)).astype(int)
     order = np.argsort(bucket, kind="stable")
     counts = np.bincount(bucket, minlength=BUCKETS)
     ends = np.cumsum(counts)
-    free, shift, slots = np.ones(size, dtype=bool), np.zeros(BUCKETS, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+    free, shift, slots = np.ones(size, dtype=bool), np.zeros(BUCKETS, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
     for b in np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]:
         own = order[ends[b] - counts[b] : ends[b]]
         d = 0
@@ -67,7 +72,7 @@ def displaced(keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
             if d >= size:
                 raise RuntimeError("no displacement fits; two keys share a hash")
         free[at], shift[b], slots[own] = False, d, at
-    return shift, slots
+    return shift, slots, size
 
 
 class Vocabulary:
@@ -78,8 +83,7 @@ class Vocabulary:
         if max(ranks.values()) >= NO_RANK:
             raise ValueError(f"ranks must stay below {NO_RANK}")
         pairs = [(ranks[k[:i]] << ID_BITS | ranks[k[i:]], r) for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
-        shift, slots = displaced([k for k, _ in pairs])
-        self.size = 1 << (2 * len(pairs)).bit_length()
+        shift, slots, self.size = displaced(np.array([hash_of(struct.pack("<q", k)) for k, _ in pairs], dtype=np.uint64))
         entries = np.full(self.size, -1, dtype=np.int64)
         entries[slots] = [k << ID_BITS | r for k, r in pairs]
         self.shift = array_literal(spark, shift.astype(np.int32), pa.int32(), "int")
@@ -98,9 +102,7 @@ class Vocabulary:
     def rank(self, left: Column, right: Column) -> Column:
         """Rank of a pair of ids, which is the id of what they merge to; NO_RANK if they do not merge."""
         key = F.shiftleft(left, ID_BITS).bitwiseOR(right)
-        h = F.xxhash64(key)
-        slot = (F.shiftrightunsigned(h, 20) + F.get(self.shift, h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int"))).bitwiseAND(F.lit(self.size - 1).cast("long")).cast("int")
-        entry = F.get(self.entries, slot)
+        entry = F.get(self.entries, slot_of(key, self.shift, self.size))
         mask = F.lit(ID_MASK).cast("long")
         return F.when(F.shiftright(entry, ID_BITS) == key, entry.bitwiseAND(mask)).otherwise(F.lit(NO_RANK).cast("long"))
 
@@ -138,17 +140,22 @@ class Vocabulary:
         return F.transform(F.when(size > 1, folded).otherwise(start), lambda x: x.bitwiseAND(mask).cast("int"))
 
 
-def bucket_of(word: Column, buckets: int) -> Column:
-    return F.hash(word).bitwiseAND(F.lit(buckets - 1))
+class WordCache:
+    """Literals of some words and their ids, laid out by a perfect hash."""
 
+    def __init__(self, spark: SparkSession, words: list[str], ids: list[list[int]]):
+        shift, slots, self.size = displaced(np.array([hash_of(w.encode()) for w in words], dtype=np.uint64))
+        keys, values = [None] * self.size, [None] * self.size
+        for w, x, at in zip(words, ids, slots.tolist()):
+            keys[at], values[at] = w, x
+        self.shift = array_literal(spark, shift.astype(np.int32), pa.int32(), "int")
+        self.keys = array_literal(spark, keys, pa.string(), "string")
+        self.values = array_literal(spark, values, pa.list_(pa.int32()), "array<int>")
 
-def bucket_literal(rows: DataFrame, buckets: int) -> Column:
-    """A literal array of `buckets` (a power of two) arrays of (k, ids), by the hash of k."""
-    filled = rows.groupBy(bucket_of(F.col("k"), buckets).alias("bucket")).agg(F.collect_list(F.struct("k", "ids")).alias("cells"))
-    every = rows.sparkSession.range(0, buckets, 1, 1).withColumnRenamed("id", "bucket").join(filled, "bucket", "left")
-    cells = F.coalesce("cells", F.array().cast(filled.schema["cells"].dataType))
-    packed = every.groupBy().agg(F.collect_list(F.struct("bucket", cells.alias("cells"))).alias("all"))
-    return literal_of(packed.select(F.transform(F.sort_array("all"), lambda x: x["cells"]).alias("v")))
+    def ids(self, word: Column) -> Column:
+        """Ids of a cached word, else null."""
+        at = slot_of(word, self.shift, self.size)
+        return F.when(F.get(self.keys, at) == word, F.get(self.values, at))
 
 
 def split_words(text: Column, pattern: str) -> Column:
@@ -156,42 +163,39 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def word_cache(docs: DataFrame, vocabulary: Vocabulary, pattern: str, sample_rows: int = 20_000, words: int = CACHE_WORDS) -> Column:
-    """A literal of the `words` most frequent words of about `sample_rows` documents with their ids; it does not grow."""
+def word_cache(docs: DataFrame, vocabulary: Vocabulary, pattern: str, sample_rows: int = 20_000, words: int = CACHE_WORDS) -> WordCache:
+    """The `words` most frequent words of about `sample_rows` documents; both bounds hold at every size of the input."""
     counted = sample_docs(docs.select("doc_id", "text"), sample_rows, limit=False).select(F.explode(split_words(F.col("text"), pattern)).alias("k")).groupBy("k").count()
     common = counted.where(F.octet_length("k") <= 64).orderBy(F.desc("count"), "k").limit(words).select("k")
     spread = materialize(common, "words").repartition(24, "k")
-    encoded = materialize(spread.select("k", vocabulary.merged(F.col("k")).alias("ids")), "encoded")
-    return bucket_literal(encoded, CACHE_BUCKETS)
+    encoded = spread.select("k", vocabulary.merged(F.col("k")).alias("ids")).toArrow()
+    return WordCache(docs.sparkSession, encoded["k"].to_pylist(), encoded["ids"].to_pylist())
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, keep: tuple[str, ...] = ("doc_id",), cache: Column | None = None, cache_buckets: int = CACHE_BUCKETS) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, keep: tuple[str, ...] = ("doc_id",), cache: WordCache | None = None) -> DataFrame:
     """The columns in `keep` and `ids`, the token ids of each whole text, in one pass without a shuffle.
 
     A null or empty text has no ids. Repeated rows stay repeated; an empty table gives an empty result.
     """
-    if cache is None:
-        cache = word_cache(docs, vocabulary, pattern)
-    own = [F.col(c).alias(f"_in_{c}") for c in keep]
-
-    def cached(word: Column) -> Column:
-        """Ids of a cached word, or null."""
-        return F.get(F.filter(F.get(cache, bucket_of(word, cache_buckets)), lambda c: c["k"] == word), F.lit(0))["ids"]
-
-    split = F.transform(split_words(F.col("text"), pattern), lambda w: F.struct(w.alias("w"), cached(w).alias("ids")))
+    cache = cache or word_cache(docs, vocabulary, pattern)
     # Each step is bound by let(): a plain column that a lambda uses could be put into it by the optimizer, and be
     # computed for each word.
     ids = let(
-        split,
+        split_words(F.col("text"), pattern),
         lambda words: let(
-            F.array_distinct(F.transform(F.filter(words, lambda x: x["ids"].isNull()), lambda x: x["w"])),
-            lambda rest: let(
-                F.transform(rest, lambda w: vocabulary.merged(w)),
-                lambda fold: F.flatten(F.transform(words, lambda x: F.coalesce(x["ids"], F.get(fold, F.array_position(rest, x["w"]).cast("int") - 1)))),
+            F.transform(words, lambda w: cache.ids(w)),
+            lambda known: let(
+                F.array_distinct(F.filter(words, lambda w, i: F.get(known, i).isNull())),
+                lambda rest: F.when(F.size(rest) == 0, F.flatten(known)).otherwise(
+                    let(
+                        F.transform(rest, lambda w: vocabulary.merged(w)),
+                        lambda fold: F.flatten(F.transform(known, lambda x, i: F.coalesce(x, F.get(fold, F.array_position(rest, F.get(words, i)).cast("int") - 1)))),
+                    )
+                ),
             ),
         ),
     )
-    return docs.select(*own, ids.alias("ids")).toDF(*keep, "ids")
+    return docs.select(*[F.col(c).alias(f"_in_{c}") for c in keep], ids.alias("ids")).toDF(*keep, "ids")
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
