@@ -64,5 +64,27 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
 FROM g
+""",
+    "op10_quality": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), windows AS (
+  SELECT doc_id, unnest(range(len(w) - 7)) AS i, unnest(list_transform(range(len(w) - 7), lambda i: array_to_string(w[i + 1:i + 8], ' '))) AS x FROM w WHERE len(w) >= 8
+), again AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM windows) WHERE c > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(8) AS r(j) GROUP BY doc_id
+), failing AS (
+  SELECT doc_id, list_filter(l, lambda x: (2 * (length(x) - length(regexp_replace(x, '[#*$%&|<>!]+', '', 'g'))) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) > 1)
+    OR regexp_matches(x, '{quality.NAVIGATION}') OR regexp_matches(lower(x), '{"|".join(quality.BOILERPLATE)}')) AS f FROM w
+), m AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(f)::BIGINT AS n_failed_lines, length(regexp_replace(array_to_string(f, ''), '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS lost_chars
+  FROM w LEFT JOIN covered c USING (doc_id) JOIN failing USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 0.6 * word_chars AS kept, n_failed_lines, lost_chars FROM m
 """,
 }
