@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyrine.functions import constants as C
 from papyrine.functions.text import decompose_all, f1, normalize, ratio, ratio_match, scalar_match, surname
@@ -89,3 +93,37 @@ def report(pairs: DataFrame, native: bool = False, fields: tuple[str, ...] = FIE
             rows.append(F.struct(F.lit(k).alias("field"), F.col(f"{k}.p").alias("precision"), F.col(f"{k}.r").alias("recall"), F.col(f"{k}.f").alias("f1"), F.col(f"{k}.support").alias("support")))
     listed = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return listed.where(F.col("field").isin(*C.CORE_FIELDS) | (F.col("support") > 0))
+
+
+def pair_by_position(gold: DataFrame, predicted: DataFrame, position: str = "pos") -> DataFrame:
+    """Gold and predicted rows of equal position as pairs; the query fails where one side has a row more."""
+    g = gold.select(position, *[F.col(c).alias(f"g_{c}") for c in gold.columns if c != position], F.lit(True).alias("_g"))
+    p = predicted.select(position, *[F.col(c).alias(f"p_{c}") for c in predicted.columns if c != position], F.lit(True).alias("_p"))
+    both = g.join(p, position, "full_outer")
+    uneven = F.col("_g").isNull() | F.col("_p").isNull()
+    checked = F.when(uneven, F.raise_error(F.lit("predictions and golds differ in number"))).otherwise(F.col(position).cast("string"))
+    return both.withColumn("_checked", checked).where("_checked is not null").drop("_g", "_p", "_checked")
+
+
+def _headings(nodes: list[dict]) -> list[str]:
+    out: list[str] = []
+    stack = list(reversed(nodes))
+    while stack:
+        node = stack.pop()
+        if node.get("heading"):
+            out.append(node["heading"])
+        stack += reversed(node.get("subsections") or [])
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def flat_headings(trees: pd.Series) -> pd.Series:
+    """Headings of a section tree in JSON, in pre-order, empty ones left out."""
+    return trees.map(lambda t: _headings(json.loads(t)) if t else [])
+
+
+def predictions(documents: DataFrame, key: str = "stem") -> DataFrame:
+    """Written documents (see sources.gold.read_documents) as the flat rows that are scored."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    meta = [F.col(f"metadata.{c}").alias(c) for c in ("title", "authors", "doi", "year", "journal", "abstract", "keywords")]
+    return documents.select(key, *meta, flat_headings("sections").alias("sections"), *[size(c).alias(c) for c in COUNTS])

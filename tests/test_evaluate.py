@@ -1,4 +1,9 @@
+import json
+
+import pytest
+
 from papyrine.operators import evaluate
+from papyrine.sources.gold import read_documents
 
 SCHEMA = "stem string, title string, doi string, year int, journal string, abstract string, authors array<string>, keywords array<string>, sections array<string>, figures int, tables int, equations int"
 
@@ -33,3 +38,18 @@ def test_sets_and_counts(spark):
 def test_unmatched(spark):
     gold, pred = (spark.createDataFrame([(s,) for s in x], "stem string") for x in (["a", "b"], ["a"]))
     assert [r.stem for r in evaluate.unmatched(gold, pred).collect()] == ["b"]
+
+
+def test_pairs_by_position(spark):
+    make = lambda *xs: spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "pos int, title string")
+    assert [(r.g_title, r.p_title) for r in evaluate.pair_by_position(make("a", "b"), make("c", "d")).orderBy("pos").collect()] == [("a", "c"), ("b", "d")]
+    with pytest.raises(Exception, match="differ in number"):
+        evaluate.pair_by_position(make("a", "b"), make("c")).collect()
+
+
+def test_predictions_of_documents(spark, tmp_path):
+    tree = [{"heading": "A", "subsections": [{"heading": "B", "subsections": []}, {"heading": "", "subsections": [{"heading": "C"}]}]}, {"heading": "D"}]
+    doc = {"metadata": {"title": "T", "authors": ["X, Y"], "year": 2001, "keywords": []}, "sections": tree, "figures": [{"id": "Figure 1"}], "tables": [], "equations": None, "raw_text": "t"}
+    (tmp_path / "paper.json").write_text(json.dumps(doc))
+    r = evaluate.predictions(read_documents(spark, str(tmp_path / "*.json"))).head()
+    assert (r.stem, r.title, r.sections, r.figures, r.tables, r.equations) == ("paper", "T", ["A", "B", "C", "D"], 1, 0, 0)
