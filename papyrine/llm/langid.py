@@ -248,7 +248,7 @@ def identify(docs: DataFrame, model: Model | None = None, penalty: float = 6.0)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, model: Model | None = None, penalty: float = 6.0, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None = None, penalty: float = 6.0, least: float = 0.3) -> DataFrame:
     """The documents, their own columns kept, whose language is known and covers at least `least` of their letters."""
     model = model or train(docs)
 
