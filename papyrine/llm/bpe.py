@@ -24,7 +24,7 @@ ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = ID_MASK
 POS_BITS = 29
 BUCKETS = 1 << 16
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -141,21 +141,20 @@ class Vocabulary:
 
 
 class WordCache:
-    """Literals of some words and their ids, laid out by a perfect hash."""
+    """A literal of some words and their ids, in as many short buckets as there are words or more."""
 
     def __init__(self, spark: SparkSession, words: list[str], ids: list[list[int]]):
-        shift, slots, self.size = displaced(np.array([hash_of(w.encode()) for w in words], dtype=np.uint64))
-        keys, values = [None] * self.size, [None] * self.size
-        for w, x, at in zip(words, ids, slots.tolist()):
-            keys[at], values[at] = w, x
-        self.shift = array_literal(spark, shift.astype(np.int32), pa.int32(), "int")
-        self.keys = array_literal(spark, keys, pa.string(), "string")
-        self.values = array_literal(spark, values, pa.list_(pa.int32()), "array<int>")
+        self.buckets = 1 << max(0, len(words) - 1).bit_length()
+        cells: list[list[dict]] = [[] for _ in range(self.buckets)]
+        for w, x in zip(words, ids):
+            cells[hash_of(w.encode()) & (self.buckets - 1)].append({"k": w, "ids": x})
+        kind = pa.list_(pa.struct([("k", pa.string()), ("ids", pa.list_(pa.int32()))]))
+        self.cells = array_literal(spark, cells, kind, "array<struct<k:string,ids:array<int>>>")
 
     def ids(self, word: Column) -> Column:
-        """Ids of a cached word, else null."""
-        at = slot_of(word, self.shift, self.size)
-        return F.when(F.get(self.keys, at) == word, F.get(self.values, at))
+        """Ids of a cached word, else null. Each part stands once: interpreted expressions cost by their number."""
+        bucket = F.get(self.cells, F.xxhash64(word).bitwiseAND(F.lit(self.buckets - 1).cast("long")).cast("int"))
+        return F.get(F.filter(bucket, lambda c: c["k"] == word), F.lit(0))["ids"]
 
 
 def split_words(text: Column, pattern: str) -> Column:
