@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrine.functions import constants as C
-from papyrine.functions.text import starts_with_any, strip
+from papyrine.functions.text import let, starts_with_any, strip
 
 NUMBERED = r"(?i)^((?:Section\s+)?S\d+|(?:\d+\.)+\d*|\d+\.?|[IVX]+\.)[\s\-]+(.+)"
 UNITS = r"(?i)^[\d\s.,\-]+(?:mM|cm|mm|mV|mA|h|min|s|kΩ|µm)?$"
@@ -92,45 +92,70 @@ def headings(blocks: DataFrame) -> DataFrame:
     )
 
 
-def fold_levels(found: DataFrame) -> DataFrame:
-    """(doc_id, rn, level) of headings.
+LEVELS = "array<struct<rn:int,level:int>>"
+PARENTS = "array<struct<rn:int,level:int,parent_rn:int>>"
+
+
+def level_array(heads: Column) -> Column:
+    """Array of (rn, level) from headings (rn, font, level0, number) in order.
 
     An un-numbered heading below level 1 goes one deeper than the heading before if its font is over half a point
     smaller, one up (to 2 at most) if larger, and takes its level otherwise.
     """
-    items = F.sort_array(F.collect_list(F.struct("rn", "font", "level0", F.col("number").isNull().alias("free"))))
-    none = F.struct(F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("font"), F.array().cast("array<struct<rn:int,level:int>>").alias("out"))
+    none = F.struct(F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("font"), F.array().cast(LEVELS).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         moved = F.when(x["font"] < s["font"] - 0.5, s["level"] + 1).when(x["font"] > s["font"] + 0.5, F.greatest(F.lit(2), s["level"] - 1)).otherwise(s["level"])
-        level = F.when(x["free"] & s["level"].isNotNull() & (x["level0"] >= 2), moved).otherwise(x["level0"])
+        level = F.when(x["number"].isNull() & s["level"].isNotNull() & (x["level0"] >= 2), moved).otherwise(x["level0"])
         return F.struct(level.alias("level"), x["font"].alias("font"), F.concat(s["out"], F.array(F.struct(x["rn"].alias("rn"), level.alias("level")))).alias("out"))
 
-    per_doc = found.where("is_heading").groupBy("doc_id").agg(items.alias("_h"))
-    return per_doc.select("doc_id", F.inline(F.aggregate("_h", none, step, lambda s: s["out"])))
+    return F.aggregate(heads, none, step, lambda s: s["out"])
 
 
-def parents(levels: DataFrame) -> DataFrame:
-    """Adds parent_rn: the nearest heading before with a smaller level."""
-    per_doc = levels.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rn", "level"))).alias("_h"))
-    none = F.struct(F.array().cast("array<struct<rn:int,level:int>>").alias("stack"), F.array().cast("array<struct<rn:int,level:int,parent_rn:int>>").alias("out"))
+def parent_array(levels: Column) -> Column:
+    """Array of (rn, level, parent_rn): the nearest heading before with a smaller level, kept on a stack."""
+    none = F.struct(F.array().cast(LEVELS).alias("stack"), F.array().cast(PARENTS).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         kept = F.filter(s["stack"], lambda h: h["level"] < x["level"])
-        return F.struct(F.concat(kept, F.array(F.struct(x["rn"].alias("rn"), x["level"].alias("level")))).alias("stack"), F.concat(s["out"], F.array(F.struct(x["rn"].alias("rn"), x["level"].alias("level"), F.when(F.size(kept) > 0, F.element_at(kept, -1)["rn"]).alias("parent_rn")))).alias("out"))
+        own = F.struct(x["rn"].alias("rn"), x["level"].alias("level"), F.get(kept, F.size(kept) - 1)["rn"].alias("parent_rn"))
+        return F.struct(F.concat(kept, F.array(F.struct(x["rn"].alias("rn"), x["level"].alias("level")))).alias("stack"), F.concat(s["out"], F.array(own)).alias("out"))
+
+    return F.aggregate(levels, none, step, lambda s: s["out"])
+
+
+def fold_levels(found: DataFrame) -> DataFrame:
+    """(doc_id, rn, level) of headings."""
+    per_doc = found.where("is_heading").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rn", "font", "level0", "number"))).alias("_h"))
+    return per_doc.select("doc_id", F.inline(level_array(F.col("_h"))))
 
-    return per_doc.select("doc_id", F.inline(F.aggregate("_h", none, step, lambda s: s["out"])))
+
+def parents(levels: DataFrame) -> DataFrame:
+    """(doc_id, rn, level, parent_rn) of headings with levels."""
+    per_doc = levels.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rn", "level"))).alias("_h"))
+    return per_doc.select("doc_id", F.inline(parent_array(F.col("_h"))))
 
 
 def section_table(blocks: DataFrame) -> DataFrame:
-    """Sections (doc_id, rn, parent_rn, level, number, heading, content): rn is pre-order; text before the first heading goes."""
-    found = headings(blocks)
-    tree = parents(fold_levels(found))
-    running = Window.partitionBy("doc_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    owned = found.withColumn("head", F.max(F.when(F.col("is_heading"), F.col("rn"))).over(running)).where("head is not null")
-    parts = F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_heading"), F.struct("rn", "text")))), lambda x: x["text"])
-    made = owned.groupBy("doc_id", F.col("head").alias("rn")).agg(F.max(F.when(F.col("is_heading"), F.col("text"))).alias("heading"), F.max("number").alias("number"), F.array_join(parts, "\n\n").alias("content"))
-    return tree.join(made, ["doc_id", "rn"]).select("doc_id", "rn", "parent_rn", "level", "number", "heading", "content")
+    """Sections (doc_id, rn, parent_rn, level, number, heading, content): rn is pre-order; text before the first heading goes.
+
+    A document's chunks are gathered once, where the windows have put them, and folded in place: no join follows.
+    """
+    chunk = F.struct("rn", "is_heading", "text", "font", "level0", "number")
+    per_doc = headings(blocks).groupBy("doc_id").agg(F.sort_array(F.collect_list(chunk)).alias("_c"))
+
+    def rows(c: Column) -> Column:
+        tree = parent_array(level_array(F.filter(c, lambda x: x["is_heading"])))
+
+        def section(p: Column, k: Column, every: Column) -> Column:
+            own = F.get(c, p["rn"] - 1)  # rn counts chunks from 1
+            end = F.coalesce(F.get(every, k + 1)["rn"], F.size(c) + 1)
+            content = F.array_join(F.transform(F.slice(c, p["rn"] + 1, end - p["rn"] - 1), lambda x: x["text"]), "\n\n")
+            return F.struct(p["rn"].alias("rn"), p["parent_rn"].alias("parent_rn"), p["level"].alias("level"), own["number"].alias("number"), own["text"].alias("heading"), content.alias("content"))
+
+        return let(tree, lambda every: F.transform(every, lambda p, k: section(p, k, every)))
+
+    return per_doc.select("doc_id", F.inline(let(F.col("_c"), rows)))
 
 
 def acknowledgments(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
