@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import constants as C
-from papyrine.functions.text import caption_id, caption_kind, clean_latex, latex_id, strip
+from papyrine.functions.text import caption_id, caption_kind, clean_latex, latex_id, let, strip
 
 
 def detections(found: DataFrame) -> DataFrame:
@@ -67,9 +67,11 @@ def assign_captions(items: DataFrame, candidates: DataFrame) -> DataFrame:
             F.lit(0),
         )
 
-    taken = both.select(*key, F.inline(F.aggregate("_items", none, step, lambda s: s["out"])))
-    named = candidates.select("doc_id", "page_no", "pool", "pos", F.col("caption_id").alias("new_id"), F.col("text").alias("caption"))
-    got = taken.join(named, [*key, "pos"]).drop("pos")
+    def named(o: Column) -> Column:
+        offer = F.get(F.filter("_offers", lambda c: c["pos"] == o["pos"]), F.lit(0))
+        return let(offer, lambda c: F.struct(o["n"].alias("n"), c["caption_id"].alias("new_id"), c["text"].alias("caption")))
+
+    got = both.select(*key, F.inline(F.transform(F.aggregate("_items", none, step, lambda s: s["out"]), named)))
     return items.join(got, [*key, "n"], "left").withColumn("id", F.coalesce("new_id", "id")).withColumn("caption", F.coalesce("caption", F.lit(""))).drop("new_id")
 
 
