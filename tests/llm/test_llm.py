@@ -177,6 +177,15 @@ def test_packing_prefers_neighbours():
     assert [p[0] for p in list(packer.block(list("abcde"), ids))][:2] == ["a", "d"]
 
 
+def test_packing_finds_neighbours_anywhere_in_the_corpus(spark):
+    own = [np.random.default_rng(i).choice(list("abcdefghijklmnopqrstuvwxyz"), 8, replace=False) for i in range(1200)]
+    twins = spark.createDataFrame([(i, " ".join(np.tile(own[i % 1200], 63)), None, None, None) for i in range(2400)], SCHEMA).coalesce(1)
+    sequences = {}
+    for r in packing.pack(twins, public_tokenizers.path("word_bpe_49k.json"), window=1010).select("doc_id", "sequence_id").collect():
+        sequences.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert sum(bool(sequences[i] & sequences[i + 1200]) for i in range(1200)) > 0.95 * 1200
+
+
 def test_annsearch(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(900, 16)).astype(np.float32)
