@@ -105,8 +105,8 @@ def tokenizer_for(path: str) -> WordTokenizer:
 
 
 def idf_of(df: np.ndarray, n: int) -> np.ndarray:
-    """A term of half the documents or more has no weight, as the logarithm is negative there."""
-    return np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
+    """Always positive: what a hot group of documents shares still tells its members from others."""
+    return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
 class Index:
@@ -122,8 +122,6 @@ class Index:
         term, count = np.concatenate(ids), np.concatenate(counts)
         if idf is None:
             idf = idf_of(np.bincount(term, minlength=TERMS), n)
-        telling = idf[term] > 0
-        doc, term, count = doc[telling], term[telling], count[telling]
         self.forward_ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
         self.forward = term
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if mean is None else mean))
@@ -302,7 +300,7 @@ class Corpus:
 
     def nearest(self, used: np.ndarray, seeds: list[np.ndarray], most: int) -> list[tuple]:
         """For each seed's terms its best unused documents of the whole corpus: numbers and lengths, best first."""
-        sent = self.spark.sparkContext.broadcast((self.idf, self.mean, [t[self.idf[t] > 0] for t in seeds]))
+        sent = self.spark.sparkContext.broadcast((self.idf, self.mean, seeds))
         names = ["seed", "score", "number", "n"]
 
         def best(score, number, n):

@@ -177,6 +177,12 @@ def test_packing_prefers_neighbours():
     assert [p[0] for p in list(packer.block(list("abcde"), ids))][:2] == ["a", "d"]
 
 
+def test_packing_retrieves_by_terms_of_most_documents():
+    ids = [np.array(x, dtype="<u2") for x in ([1, 2, 3, 4], [9, 9, 9, 9], [1, 2, 3, 4], [8, 8, 8, 8], [1, 2, 3, 4])]
+    pieces = list(packing.Packer(0, 12).block(list("abcde"), ids))
+    assert [p[0] for p in pieces] == ["a", "c", "e"]
+
+
 def test_packing_finds_neighbours_anywhere_in_the_corpus(spark):
     own = [np.random.default_rng(i).choice(list("abcdefghijklmnopqrstuvwxyz"), 8, replace=False) for i in range(1200)]
     twins = spark.createDataFrame([(i, " ".join(np.tile(own[i % 1200], 63)), None, None, None) for i in range(2400)], SCHEMA).coalesce(1)
