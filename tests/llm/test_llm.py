@@ -142,6 +142,12 @@ def test_pii(spark, empty):
     assert pii.scan_pii(empty).count() == 0
 
 
+def test_iban_before_other_capitals_and_numbers():
+    es, at = "ES91 2100 0418 4502 0005 1332", "AT611904300234573201"
+    for text, wanted in ((f"{es} EUR 500", [es]), (f"{at} BIC x", [at]), (f"IBAN {es} {at} 77", [es, at]), (f"AB12 CDEF {es} EUR", [es]), (f"{es[:-1]}3 EUR", [])):
+        assert [text[a:b] for k, a, b in pii.extra_spans(text) if k == "iban"] == wanted, text
+
+
 @pytest.mark.parametrize("window", [64, 4096])
 def test_packing(docs, empty, window):
     from tokenizers import Tokenizer
