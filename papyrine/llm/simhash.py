@@ -7,6 +7,7 @@ travel: the trees grow with the corpus and are not broadcast, the queries are de
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -184,3 +185,61 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) ->
     chosen = materialize(named.select(F.col("component_id.row").alias("_row")).distinct(), "chosen")
     kept = stored.join(chosen.hint("shuffle_hash"), "_row", "left_semi")  # one plan at every size: rows are dealt, not broadcast
     return kept.select(*[F.col(h).alias(c) for c, h in zip(own, hidden)])
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of the text's word shingles in order; a shorter text is one shingle, a blank one has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    runs = [b" ".join(words)] if 0 < len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    return np.unique(np.array([_digest(r) for r in runs], dtype=np.uint64))
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The documents with one of each group linked by a Jaccard similarity of word shingles: the smallest doc_id.
+
+    Two sets of that similarity share one of the first n - ceil(similarity * n) + 1 shingles of either in the order of
+    their hashes, so no pair is lost; every pair that shares one is compared exactly. Equal sets count once. Rows that
+    share a doc_id or lack one are treated as by drop_near_duplicates.
+    """
+    own = docs.columns
+    hidden = [f"_c{i}" for i in range(len(own))]
+    renamed = docs.select(*[F.col(c).alias(h) for c, h in zip(own, hidden)], F.monotonically_increasing_id().alias("_row"))
+    text = own.index("text")
+
+    def mark(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle).tobytes() for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary())], names=[*hidden, "_row", "set", "same"])
+
+    def prefixes(batches):
+        for batch in batches:
+            sets = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+            first = [s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1] for s in sets]
+            lengths = [len(f) for f in first]
+            columns = np.concatenate(first), np.repeat(batch.column(0).to_numpy(), lengths), np.repeat([len(s) for s in sets], lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "row", "n"])
+
+    def compare(batches):
+        for batch in batches:
+            hit = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                hit.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    stored = materialize(renamed.mapInArrow(mark, T.StructType([*renamed.schema.fields, T.StructField("set", T.BinaryType()), T.StructField("same", T.BinaryType())])), "numbered")
+    marked = stored.select(F.col(hidden[own.index("doc_id")]).alias("doc_id"), "_row", "same")
+    best = marked.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("first"))
+    distinct = materialize(best.select(F.col("first.row").alias("row"), "first").join(stored.select(F.col("_row").alias("row"), "set"), "row"), "distinct")
+    dealt = materialize(distinct.select("row", "set").mapInArrow(prefixes, "token long, row long, n long"), "prefixes")
+    a, b = (dealt.select("token", F.col("row").alias(r), F.col("n").alias(f"n_{r}")) for r in ("a", "b"))
+    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = materialize(a.join(b, "token").where(near).select("a", "b").distinct(), "pairs")
+    x, y = (distinct.select(F.col("row").alias(r), F.col("set").alias(f"set_{r}")) for r in ("a", "b"))
+    links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links")
+    members = materialize(distinct.select("row", "first").join(connected_components(links).withColumnRenamed("node", "row"), "row"), "members")
+    least = members.groupBy("component").agg(F.min("first").alias("least"))
+    losers = members.join(least, "component").where("first <> least").select("row")
+    chosen = materialize(distinct.select("row").join(losers, "row", "left_anti").select(F.col("row").alias("_row")), "chosen")
+    kept = stored.join(chosen.hint("shuffle_hash"), "_row", "left_semi")
+    return kept.select(*[F.col(h).alias(c) for c, h in zip(own, hidden)])

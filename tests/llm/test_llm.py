@@ -381,6 +381,20 @@ def test_quality_lines(spark):
     assert set(cleaned) == {1, 2} and cleaned[2].text == good
 
 
+def test_near_duplicate_stage_drops_copies_from_similarity_08(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng, made = np.random.default_rng(3), [(900, None), (901, " "), (902, "a b"), (903, "a b")]
+    for i in range(20):
+        words = rng.integers(0, 500, 70).astype(str)
+        made += [(10 * i + k, " ".join(["new" if j in changed else w for j, w in enumerate(words)])) for k, changed in enumerate(((), (30,), (20, 50)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in made], SCHEMA)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(66)} for i, w in ((i, t.split()) for i, t in made[4:])}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    wanted = {i for i in shingles if not any(j < i and alike(i, j) for j in shingles)}
+    assert sorted(r.doc_id for r in kept) == sorted(wanted | {900, 902}) and len(wanted) < 60
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     made = []
