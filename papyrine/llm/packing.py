@@ -1,10 +1,12 @@
-"""Packing by lexical retrieval: BM25 neighbours of a seed document fill its window.
-
-Documents are tokenised and stored once; document frequencies and the mean length are those of the whole corpus. Windows
-are filled in rounds: a bounded number of seeds goes to every task, each task scores them against all of its unused
-documents, the best of all tasks meet by seed, and the driver fills the windows in order. No document is out of a seed's
-reach, so the work grows with seeds times documents. The last LOCAL_TOKENS are packed on the driver in the same way. What
-is left unfilled then is cut into runs whose lengths are powers of two, which need no padding.
+"""Packing by lexical retrieval: a sharded BM25 inverted index returns unused neighbours that fill a seed's window.
+
+Documents are tokenised and stored once; document frequencies and the mean length are those of the whole corpus. A tree
+of hyperplanes, fitted on a bounded sample of weighted term vectors, puts all documents in an order in which like ones
+stand together; the order is dealt to tasks in ranges of even work, and a task cuts its range into shards. Each shard has
+an exact inverted index over all terms. A seed's unused neighbours of its shard follow it until the window is full; the
+document that was cut there is the next seed. Work is linear in the corpus, and a document's neighbours are looked for
+beside it in the order of content, wherever it is stored. What is left unfilled at the end of a range is cut into runs
+whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import materialize, new_path
+from papyrine.llm.common import materialize
 
 WINDOW = 4096
-LOCAL_TOKENS = 1_000_000
-BLOCK_TOKENS = 4_000_000  # indexed at a time by a task, which scores all seeds against one block after another
-SEEDS = 4096  # of a round, at most
-ANSWERS = 1 << 17  # of a round, over all seeds; a seed that needs more asks again
+SHARD_TOKENS, SHARD_DOCS = 2_000_000, 1 << 14  # of one index, which a task builds and drops before the next
+RANGE_COST = 10_000_000  # tokens of a range, a document counting DOC_COST more
+DOC_COST = 256
+MOST_RANGES = 20_000
+SAMPLE = 1 << 14  # documents that fit the tree; 16 a range if that is more, for even ranges
+DIMENSIONS = 64
+DEPTH = 9  # of the tree
+SIGNS = 16  # bits of the order within a leaf
+DENSE = 1 << 24  # entries of the matrix that holds a shard's commonest terms
 TERMS = 1 << 16
 CACHE_WORDS = 500_000
 K1, B = 1.2, 0.75
@@ -109,37 +117,62 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of one document and their counts."""
+    s = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return s[first], np.diff(np.append(first, len(s)))
+
+
 class Index:
-    """Inverted index of documents with BM25 weights; idf and mean length are the corpus's, or else their own."""
-
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None, counts: list[np.ndarray] | None = None, sizes=None):
-        """Documents as token ids, or as distinct terms with their counts and the document lengths."""
-        if counts is None:
-            sizes = [len(x) for x in ids]
-            ids, counts = zip(*(np.unique(x, return_counts=True) for x in ids))
-        sizes, n = np.asarray(sizes), len(ids)
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in ids])
-        term, count = np.concatenate(ids), np.concatenate(counts)
-        if idf is None:
-            idf = idf_of(np.bincount(term, minlength=TERMS), n)
-        self.forward_ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
-        self.forward = term
+    """Inverted index of a shard with BM25 weights; idf and mean length are the corpus's, or else the shard's own.
+
+    The commonest terms are rows of a dense matrix, the others have posting lists; either is cheaper where it is used.
+    """
+
+    def __init__(self, ids: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None):
+        n, sizes = len(ids), np.array([len(x) for x in ids])
+        key = np.sort(np.concatenate(ids).astype(np.int64) | np.repeat(np.arange(n, dtype=np.int64) << 16, sizes))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count, doc, term = np.diff(np.append(first, len(key))), key[first] >> 16, key[first] & (TERMS - 1)
+        df = np.bincount(term, minlength=TERMS)
+        idf = idf_of(df, n) if idf is None else idf
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if mean is None else mean))
-        weight = idf[term] * count * (K1 + 1) / (count + norm[doc])
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=TERMS))])
-        self.n = n
+        weight = (idf[term] * count * (K1 + 1) / (count + norm[doc])).astype(np.float32)
+        self.n, self.forward, self.forward_ends = n, term, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+        common = np.argsort(-df, kind="stable")[: DENSE // n]
+        common = common[df[common] * 16 > n]
+        self.place = np.full(TERMS, -1)
+        self.place[common] = np.arange(len(common))
+        at = self.place[term]
+        self.dense = np.zeros((len(common), n), dtype=np.float32)
+        self.dense[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.doc, self.weight = doc[rare], weight[rare].astype(np.float64)
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(term[rare], minlength=TERMS))])
 
     def scores(self, seed: int) -> np.ndarray:
-        return self.scores_of(self.forward[self.forward_ends[seed] : self.forward_ends[seed + 1]])
-
-    def scores_of(self, terms: np.ndarray) -> np.ndarray:
-        terms = terms.astype(np.int64)
-        spans = [slice(a, b) for a, b in zip(self.ends[terms].tolist(), self.ends[terms + 1].tolist()) if a < b]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[x] for x in spans]), weights=np.concatenate([self.weight[x] for x in spans]), minlength=self.n)
+        terms = self.forward[self.forward_ends[seed] : self.forward_ends[seed + 1]]
+        place = self.place[terms]
+        total = self.dense[place[place >= 0]].sum(axis=0)
+        rare = terms[place < 0]
+        spans = [slice(a, b) for a, b in zip(self.ends[rare].tolist(), self.ends[rare + 1].tolist()) if b - a > 1]
+        if spans:
+            total = total + np.bincount(np.concatenate([self.doc[x] for x in spans]), weights=np.concatenate([self.weight[x] for x in spans]), minlength=self.n)
+        return total
+
+
+def best_first(scores: np.ndarray, some: int = 64):
+    """Positions by falling score, ties in order, without those of score 0 or less; sorted as far as they are asked for."""
+    if len(scores) > some:
+        cut = np.partition(scores, -some)[-some]
+        top = np.flatnonzero(scores >= max(cut, 1e-30))
+        yield from top[np.argsort(-scores[top], kind="stable")].tolist()
+        rest = np.flatnonzero((scores < cut) & (scores > 0))
+    else:
+        rest = np.flatnonzero(scores > 0)
+    yield from rest[np.argsort(-scores[rest], kind="stable")].tolist()
 
 
 class Packer:
@@ -158,24 +191,24 @@ class Packer:
         self.sequence += 1
         self.open, self.filled = [], 0
 
-    def add(self, key, ids, first: int = 0, total: int | None = None):
-        """Append a document, or what follows its first tokens, cut wherever a window is full."""
-        start, total = 0, len(ids) if total is None else total
-        while start < len(ids):
+    def add(self, key, ids):
+        """Append a document, cut wherever a window is full."""
+        start, total = 0, len(ids)
+        while start < total:
             part = ids[start : start + self.window - self.filled]
-            self.open.append((key, first + start, part, total))
+            self.open.append((key, start, part, total))
             self.filled += len(part)
             start += len(part)
             if self.filled == self.window:
                 yield from self.close()
 
-    def block(self, keys: list, ids: list, index: Index | None = None, unused: np.ndarray | None = None, seed: int | None = None):
-        """Pack documents: the best unused neighbours of the seed follow it until its window is full.
+    def block(self, keys: list, ids: list, index: Index | None = None):
+        """Pack a shard: the best unused neighbours of the seed follow it until its window is full.
 
         The next seed is the document that was cut there, else the next unused one.
         """
-        index, at = index or Index(ids), 0
-        unused = np.ones(len(ids), dtype=bool) if unused is None else unused
+        index, at, seed = index or Index(ids), 0, None
+        unused = np.ones(len(ids), dtype=bool)
         while True:
             if seed is None:
                 while at < len(ids) and not unused[at]:
@@ -187,10 +220,8 @@ class Packer:
                 if not self.filled:
                     seed = None
                     continue
-            scores, seed_of_next = np.where(unused, index.scores(seed), -1.0), None
-            for k in np.argsort(-scores, kind="stable"):
-                if scores[k] <= 0:
-                    break
+            seed_of_next = None
+            for k in best_first(np.where(unused, index.scores(seed), 0)) if unused.any() else ():
                 unused[k], before = False, self.sequence
                 yield from self.add(keys[k], ids[k])
                 if self.sequence != before:
@@ -215,7 +246,7 @@ class Packer:
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """row (task and position), doc_id, n, ids, and the distinct terms with their counts."""
+    """row (task and position), doc_id and ids as little-endian unsigned 16-bit integers."""
 
     def run(batches):
         tokenizer, row = tokenizer_for(tokenizer_path), TaskContext.get().partitionId() << 33
@@ -224,209 +255,98 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 raws = [raw + end for raw in tokenizer.encode_batch(some.column(1).to_pylist())]
-                held = [np.unique(np.frombuffer(raw, "<u2"), return_counts=True) for raw in raws]
                 rows = np.arange(row, row + len(raws))
                 row += len(raws)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), some.column(0), pa.array([len(raw) // 2 for raw in raws], pa.int64()), *(pa.array(x, pa.binary()) for x in (raws, [t.tobytes() for t, _ in held], [c.astype("<u4").tobytes() for _, c in held]))],
-                    names=["row", "doc_id", "n", "ids", "terms", "counts"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n long, ids binary, terms binary, counts binary")
-
-
-class Corpus:
-    """Stored tokens with the statistics of all documents; documents have numbers from 0 in the order of their rows."""
-
-    def __init__(self, tokens: DataFrame):
-        def run(batches):
-            df, sizes = np.zeros(TERMS, dtype=np.int64), {}
-            for batch in batches:
-                df += np.bincount(np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2"), minlength=TERMS)
-                for part, n in zip((batch.column(0).to_numpy() >> 33).tolist(), batch.column(1).to_pylist()):
-                    docs, total = sizes.get(part, (0, 0))
-                    sizes[part] = docs + 1, total + n
-            some = np.flatnonzero(df)
-            columns = [[*some.tolist(), *(TERMS + p for p in sizes)], [*df[some].tolist(), *(d for d, _ in sizes.values())], [*[0] * len(some), *(t for _, t in sizes.values())]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "docs", "tokens"])
-
-        self.tokens, self.spark = tokens, tokens.sparkSession
-        found = tokens.select("row", "n", "terms").mapInArrow(run, "key long, docs long, tokens long").groupBy("key").agg(F.sum("docs"), F.sum("tokens")).collect()
-        df, parts = np.zeros(TERMS, dtype=np.int64), sorted(tuple(r) for r in found if r[0] >= TERMS)
-        for key, docs, _ in (r for r in found if r[0] < TERMS):
-            df[key] = docs
-        self.parts = np.array([p[0] - TERMS for p in parts], dtype=np.int64)
-        self.base = np.concatenate([[0], np.cumsum([p[1] for p in parts])]).astype(np.int64)
-        self.docs, self.size = int(self.base[-1]), sum(p[2] for p in parts)
-        self.idf, self.mean = idf_of(df, self.docs), self.size / max(1, self.docs)
-
-    def numbers(self, rows: np.ndarray) -> np.ndarray:
-        return self.base[np.searchsorted(self.parts, rows >> 33)] + (rows & ((1 << 33) - 1))
-
-    def rows(self, numbers: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.base, numbers, side="right") - 1
-        return (self.parts[at] << 33) | (numbers - self.base[at])
-
-    def scan(self, used: np.ndarray, task, schema: str, *columns: str) -> DataFrame:
-        """task(batches of (numbers, batch)) over the documents that are not used; a bit a document goes to the tasks."""
-        sent, parts, base = self.spark.sparkContext.broadcast(np.packbits(used)), self.parts, self.base
-
-        def run(batches):
-            bits = sent.value
-
-            def unused():
-                for batch in batches:
-                    rows = batch.column(0).to_numpy()
-                    numbers = base[np.searchsorted(parts, rows >> 33)] + (rows & ((1 << 33) - 1))
-                    keep = (bits[numbers >> 3] >> (7 - (numbers & 7)).astype(np.uint8)) & 1 == 0
-                    if keep.any():
-                        yield numbers[keep], batch.filter(pa.array(keep))
-
-            yield from task(unused())
-
-        return self.tokens.select("row", *columns).mapInArrow(run, schema)
-
-    def fetch(self, numbers) -> dict[int, tuple]:
-        """number: (length, terms, counts) of a bounded number of documents."""
-        others = np.ones(self.docs, dtype=bool)
-        others[list(numbers)] = False
-
-        def run(batches):
-            for found, batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(found), *batch.columns[1:]], names=["number", "n", "terms", "counts"])
-
-        got = self.scan(others, run, "number long, n long, terms binary, counts binary", "n", "terms", "counts").toArrow().to_pylist()
-        return {r["number"]: (r["n"], np.frombuffer(r["terms"], "<u2"), np.frombuffer(r["counts"], "<u4")) for r in got}
-
-    def nearest(self, used: np.ndarray, seeds: list[np.ndarray], most: int) -> list[tuple]:
-        """For each seed's terms its best unused documents of the whole corpus: numbers and lengths, best first."""
-        sent = self.spark.sparkContext.broadcast((self.idf, self.mean, seeds))
-        names = ["seed", "score", "number", "n"]
-
-        def best(score, number, n):
-            order = np.lexsort((number, -score))[:most]
-            return score[order], number[order], n[order]
-
-        def search(batches):
-            idf, mean, asked = sent.value
-            top = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))] * len(asked)
-
-            def block(held):
-                numbers, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                index = Index([t for h in held for t in h[2]], idf, mean, [c for h in held for c in h[3]], sizes)
-                for k, terms in enumerate(asked):
-                    scores = index.scores_of(terms)
-                    before = top[k]
-                    at = np.flatnonzero(scores > (before[0][-1] if len(before[0]) == most else 0))
-                    if len(at):
-                        if len(at) > most:
-                            at = at[scores[at] >= np.partition(scores[at], -most)[-most]]
-                        top[k] = best(*(np.concatenate(x) for x in zip(before, (scores[at], numbers[at], sizes[at]))))
-
-            held, size = [], 0
-            for numbers, batch in batches:
-                sizes = batch.column(1).to_numpy()
-                held.append((numbers, sizes, [np.frombuffer(x, "<u2") for x in batch.column(2).to_pylist()], [np.frombuffer(x, "<u4") for x in batch.column(3).to_pylist()]))
-                size += int(sizes.sum())
-                if size >= BLOCK_TOKENS:
-                    block(held)
-                    held, size = [], 0
-            if held:
-                block(held)
-            for at in range(0, len(top), 256):
-                some = range(at, min(at + 256, len(top)))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([top[k][i].tobytes() for k in some], pa.binary()) for i in range(3))], names=names)
-
-        def merge(batches):
-            found: dict[int, list] = {}
-            for batch in batches:
-                for k, *x in zip(*(c.to_pylist() for c in batch.columns)):
-                    mine = tuple(np.frombuffer(v, t) for v, t in zip(x, (np.float64, np.int64, np.int64)))
-                    found[k] = best(*(np.concatenate(y) for y in zip(found[k], mine))) if k in found else mine
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array([v[i].tobytes() for v in found.values()], pa.binary()) for i in range(3))], names=names)
-
-        schema = "seed long, score binary, number binary, n binary"
-        got = self.scan(used, search, schema, "n", "terms", "counts").repartition("seed").mapInArrow(merge, schema).toArrow().to_pylist()
-        out = [((), ())] * len(seeds)
-        for r in got:
-            out[r["seed"]] = np.frombuffer(r["number"], np.int64).tolist(), np.frombuffer(r["n"], np.int64).tolist()
-        return out
+                yield pa.RecordBatch.from_arrays([pa.array(rows), some.column(0), pa.array(raws, pa.binary())], names=["row", "doc_id", "ids"])
 
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, ids binary")
 
-class Windows:
-    """Windows filled from a Corpus: (number, start, length, document tokens, sequence, offset) in `pieces`."""
-
-    def __init__(self, corpus: Corpus, window: int):
-        self.corpus, self.window = corpus, window
-        self.used, self.left, self.sequences = np.zeros(corpus.docs, dtype=bool), corpus.size, 0
-
-    def closed(self, packer: Packer, pieces):
-        """The pieces of closed windows under sequence numbers of their own."""
-        last = None
-        for key, start, ids, total, sequence, at in pieces:
-            if sequence != last:
-                self.sequences, last = self.sequences + 1, sequence
-            yield key, start, len(ids), total, self.sequences - 1, at
-
-    def add(self, packer: Packer, number: int, n: int):
-        self.used[number], self.left = True, self.left - n
-        return self.closed(packer, packer.add(number, range(n)))
-
-    def pieces(self):
-        """Chains fill one window each in a round; a chain goes on from the document that was cut, else from an unused one."""
-        chains: list[list] = []  # [packer, seed]
-        while self.left > LOCAL_TOKENS:
-            n = min(SEEDS, max(1, self.left // self.window // 3))
-            chains += [[Packer(0, self.window), None] for _ in range(n - len(chains))]
-            active = sorted(chains, key=lambda c: -c[0].filled)[:n]
-            free, fresh = np.flatnonzero(~self.used), [c for c in active if c[1] is None]
-            for c, k in zip(fresh, free[np.linspace(0, len(free) - 1, min(len(free), len(fresh))).astype(np.int64)].tolist()):
-                c[1] = k
-            active = [c for c in active if c[1] is not None]
-            known = self.corpus.fetch({c[1] for c in active})
-            most = max(32, ANSWERS // len(active))
-            for c, (numbers, sizes) in zip(active, self.corpus.nearest(self.used, [known[c[1]][1] for c in active], most)):
-                packer, seed = c
-                before = packer.sequence
-                if not self.used[seed]:
-                    yield from self.add(packer, seed, known[seed][0])
-                elif c in fresh:
-                    c[1] = None  # an earlier chain of this round has taken it
-                    continue
-                if packer.sequence == before:
-                    for k, size in zip(numbers, sizes):
-                        if self.used[k]:
-                            continue
-                        yield from self.add(packer, k, size)
-                        if packer.sequence != before:
-                            seed = k
-                            break
-                c[1] = (seed if packer.filled else None) if packer.sequence != before else seed if len(numbers) == most else None
-        yield from self.rest([c for c in chains if c[0].filled])
-
-    def rest(self, chains: list[list]):
-        """The last documents, and windows that are still open, on the driver."""
-        free = np.flatnonzero(~self.used).tolist()
-        known = self.corpus.fetch({*free, *(c[1] for c in chains if c[1] is not None)})
-        keys, last = list(known), Packer(0, self.window)
-        spans = [range(known[k][0]) for k in keys]
-        unused, place = ~self.used[np.array(keys, dtype=np.int64)], {k: i for i, k in enumerate(keys)}
-        index = Index([known[k][1] for k in keys], self.corpus.idf, self.corpus.mean, [known[k][2] for k in keys], [known[k][0] for k in keys]) if keys else None
-        for packer, seed in chains:
-            if seed is not None and unused.any():
-                scores = np.where(unused, index.scores(place[seed]), -1.0)
-                for k in np.argsort(-scores, kind="stable"):
-                    if scores[k] <= 0 or not packer.filled:
-                        break
-                    unused[k], before = False, packer.sequence
-                    yield from self.closed(packer, packer.add(keys[k], spans[k]))
-                    if packer.sequence != before:
-                        break
-            for number, start, ids, total in packer.open:
-                yield from self.closed(last, last.add(number, ids, start, total))
-        if keys:
-            yield from self.closed(last, last.block(keys, spans, index, unused))
-        yield from self.closed(last, last.finish())
+
+def counted(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Document frequency of each term, documents and tokens of the whole corpus; tasks send sums by term."""
+
+    def run(batches):
+        df, docs, size = np.zeros(TERMS, dtype=np.int64), 0, 0
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                terms, counts = terms_of(np.frombuffer(raw, "<u2"))
+                df[terms] += 1
+                docs, size = docs + 1, size + int(counts.sum())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), TERMS, TERMS + 1], pa.int64()), pa.array([*df[some].tolist(), docs, size], pa.int64())], names=["key", "n"])
+
+    sums = dict(tokens.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n")).collect())
+    df = np.zeros(TERMS, dtype=np.int64)
+    for key in (k for k in sums if k < TERMS):
+        df[key] = sums[key]
+    return df, sums.get(TERMS, 0), sums.get(TERMS + 1, 0)
+
+
+@cache
+def directions(seed: int, rows: int) -> np.ndarray:
+    """Random vectors, the same in every task."""
+    return np.random.default_rng(seed).standard_normal((rows, DIMENSIONS), dtype=np.float32)
+
+
+def vectors(raws: list[bytes], idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of documents: random directions of their terms, weighted by idf and saturated counts."""
+    out = np.empty((len(raws), DIMENSIONS), dtype=np.float32)
+    for i, raw in enumerate(raws):
+        terms, counts = terms_of(np.frombuffer(raw, "<u2"))
+        out[i] = (idf[terms] * counts / (counts + K1)).astype(np.float32) @ directions(1, TERMS)[terms]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class Tree:
+    """Hyperplanes that halve a sample along its widest direction, DEPTH times; leaves count from left to right."""
+
+    def __init__(self, x: np.ndarray):
+        self.way, self.cut = np.zeros((1 << DEPTH, DIMENSIONS), dtype=np.float32), np.zeros(1 << DEPTH, dtype=np.float32)
+        held = {1: x}
+        for node in range(1, 1 << DEPTH):
+            own = held.pop(node, x[:0])
+            if len(own) > 1:
+                self.way[node] = np.linalg.eigh(np.cov(own.T))[1][:, -1]
+                side = own @ self.way[node]
+                self.cut[node] = np.median(side)
+                held[2 * node], held[2 * node + 1] = own[side <= self.cut[node]], own[side > self.cut[node]]
+
+    def places(self, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Longs by which like documents stand together: leaf, signs within it, and a salt that deals equal ones."""
+        node = np.ones(len(x), dtype=np.int64)
+        for _ in range(DEPTH):
+            node = 2 * node + ((x * self.way[node]).sum(axis=1) > self.cut[node])
+        signs = (x @ directions(2, SIGNS).T > 0) @ (1 << np.arange(SIGNS, dtype=np.int64))
+        salt = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 63 + DEPTH + SIGNS)
+        return (node - (1 << DEPTH)) << (63 - DEPTH) | signs << (63 - DEPTH - SIGNS) | salt.astype(np.int64)
+
+
+def dealt(tokens: DataFrame, idf: np.ndarray, docs: int, size: int) -> DataFrame:
+    """place, row, doc_id and ids, in ranges of even cost by place, sorted within each."""
+    ranges = min(MOST_RANGES, -(-(size + DOC_COST * docs) // RANGE_COST))
+    step = max(1, docs // max(SAMPLE, 16 * ranges))
+
+    def see(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 2 + DOC_COST for x in batch.column(1).to_pylist()], pa.int64()), pa.array([x.astype(np.float16).tobytes() for x in vectors(batch.column(1).to_pylist(), idf)], pa.binary())], names=["row", "cost", "x"])
+
+    sample = tokens.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("row", "ids").mapInArrow(see, "row long, cost long, x binary").toArrow()
+    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+    tree = Tree(x[np.argsort(sample["row"].to_numpy())][:: max(1, len(x) // SAMPLE)])
+    place = tree.places(x, sample["row"].to_numpy())
+    order = np.argsort(place)
+    cost = np.cumsum(sample["cost"].to_numpy()[order])
+    bounds = place[order][np.searchsorted(cost, cost[-1] * np.arange(1, ranges) / ranges)] if len(x) else place
+
+    def route(batches):
+        for batch in batches:
+            if batch.num_rows:
+                places = tree.places(vectors(batch.column(2).to_pylist(), idf), batch.column(0).to_numpy())
+                part = np.searchsorted(bounds, places).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(places), *batch.columns], names=["part", "place", "row", "doc_id", "ids"])
+
+    routed = tokens.mapInArrow(route, "part int, place long, row long, doc_id long, ids binary")
+    return routed.repartitionById(ranges, "part").sortWithinPartitions("place", "row").select("doc_id", "ids")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
@@ -434,35 +354,49 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
 
     ids are little-endian unsigned 32-bit integers; a document's ids end with `end_id`, a null or empty text has that
     one only. Every id lies in exactly one piece, repeated rows are packed as often as they occur, a null doc_id stays
-    null, long texts are cut where a window is full. Sequence ids are unique; other columns are not read. An empty
-    table gives an empty result. Tokens and pieces are stored, so that a retried task gives the same rows.
+    null, long texts are cut where a window is full; a document longer than a shard is a shard of its own. Equal
+    documents are dealt by a salt, so that a hot group spreads over ranges. Sequence ids are unique; other columns are
+    not read. An empty table gives an empty result. Tokens are stored, and the order of a range is fixed, so that a
+    retried task gives the same rows.
     """
-    spark = docs.sparkSession
     tokens = materialize(tokenised(docs, tokenizer_path, end_id), "tokens")
-    corpus, path = Corpus(tokens), new_path(spark, "pieces")
-    names = ["row", "start", "length", "doc_tokens", "sequence_id", "offset"]
-    schema = ", ".join(f"{n} long" for n in names)
-
-    def flush(some: list[tuple]) -> None:
-        columns = np.array(some, dtype=np.int64).reshape(-1, 6).T
-        arrow = pa.table([pa.array(c) for c in (corpus.rows(columns[0]), *columns[1:])], names=names)
-        spark.createDataFrame(arrow).write.mode("append").parquet(path)
-
-    some: list[tuple] = []
-    for piece in Windows(corpus, window).pieces() if corpus.docs else ():
-        some.append(piece)
-        if len(some) == 500_000:
-            flush(some)
+    df, n, size = counted(tokens)
+    names = SCHEMA.replace(" long", "").replace(" binary", "").split(", ")
+    if not n:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    idf, mean = idf_of(df, n), size / n
+
+    def fill(batches):
+        packer, keys, ids, held = Packer(TaskContext.get().partitionId() << 33, window), [], [], 0
+
+        def emit(pieces):
             some = []
-    flush(some)
+            for piece in pieces:
+                some.append(piece)
+                if len(some) == 4096:
+                    yield table_of(some)
+                    some = []
+            if some:
+                yield table_of(some)
+
+        def table_of(some):
+            columns = list(zip(*some))
+            longs = [pa.array(columns[0], pa.int64()), *(pa.array(x, pa.int64()) for x in (columns[1], [len(x) for x in columns[2]], columns[3], columns[4], columns[5]))]
+            return pa.RecordBatch.from_arrays([*longs, pa.array([x.astype("<u4").tobytes() for x in columns[2]], pa.binary())], names=names)
 
-    def widen(batches):
         for batch in batches:
-            ids = pa.array([np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in batch.column(6).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], ids], names=SCHEMA.replace(" long", "").replace(" binary", "").split(", "))
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and (held + len(raw) // 2 > SHARD_TOKENS or len(keys) == SHARD_DOCS):
+                    yield from emit(packer.block(keys, ids, Index(ids, idf, mean)))
+                    keys, ids, held = [], [], 0
+                keys.append(key)
+                ids.append(np.frombuffer(raw, "<u2"))
+                held += len(raw) // 2
+        if keys:
+            yield from emit(packer.block(keys, ids, Index(ids, idf, mean)))
+        yield from emit(packer.finish())
 
-    pieces = spark.read.schema(schema).parquet(path).join(tokens.select("row", "doc_id", "ids"), "row")
-    return pieces.select("doc_id", *names[1:], F.expr("substring(ids, int(2 * start + 1), int(2 * length))").alias("ids")).mapInArrow(widen, SCHEMA)
+    return dealt(tokens, idf, n, size).mapInArrow(fill, SCHEMA)
 
 
 def crc32_of(ids: np.ndarray) -> int:
