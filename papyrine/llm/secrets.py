@@ -1,4 +1,4 @@
-"""Secret scans: base rules, and a character convolutional network over every other candidate."""
+"""Secret scans: a character convolutional network over every candidate and its context, besides base rules that stay."""
 
 from __future__ import annotations
 
@@ -8,18 +8,21 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from papyrine.llm.common import sample_docs
+from papyrine.llm.common import materialize, sample_docs
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+CLASSES = ("letters", "mixed", "digits")  # of candidates; each has a threshold
 LEFT, BODY, RIGHT = 24, 48, 24
 WIDTH = LEFT + BODY + RIGHT
 EMBED, FILTERS, KERNEL = 8, 24, 5
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_extra long"
+INSIDE = slice(LEFT, LEFT + BODY - KERNEL + 1)  # places of the convolution within the candidate
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, scores string, n_extra long"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -32,13 +35,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Every run of 16 or more key characters that holds both a digit and a letter."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if not run.isalpha() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            out.append((m.start(), m.end()))
-    return out
+    """Every run of 12 or more key characters."""
+    return [m.span() for m in CANDIDATE.finditer(text)]
+
+
+def class_of(run: str) -> int:
+    """Index in CLASSES: without digits, with digits and letters, without letters."""
+    if run.isalpha() or not any(map(str.isdigit, run)):
+        return 0
+    return 1 if any(map(str.isalpha, run)) else 2
 
 
 def windows(text: str, start: int, end: int) -> list[str]:
@@ -74,26 +79,54 @@ class CharCNN:
         self.bias = np.zeros(FILTERS)
         self.out = r.normal(0, 0.2, 2 * FILTERS)
         self.shift = np.zeros(1)
-        self.scale, self.offset, self.threshold = 1.0, 0.0, 0.5
+        self.scale, self.offset, self.thresholds = 1.0, 0.0, np.full(len(CLASSES), np.inf)
 
     def parts(self) -> list[np.ndarray]:
         return [self.embed, self.conv, self.bias, self.out, self.shift]
 
-    def forward(self, x: np.ndarray):
-        e = self.embed[x]
+    def filtered(self, x: np.ndarray, dtype=np.float64):
+        """Inputs of the convolution and its results at each place."""
+        e = self.embed.astype(dtype)[x]
         wide = np.lib.stride_tricks.sliding_window_view(e, KERNEL, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WIDTH - KERNEL + 1, KERNEL * EMBED)
-        h = wide @ self.conv + self.bias
+        return wide, wide @ self.conv.astype(dtype) + self.bias.astype(dtype)
+
+    def forward(self, x: np.ndarray):
+        wide, h = self.filtered(x)
         inside = np.zeros(h.shape[1], dtype=bool)
-        inside[LEFT : LEFT + BODY - KERNEL + 1] = True
+        inside[INSIDE] = True
         hin, hout = np.where(inside[None, :, None], h, -1e9), np.where(inside[None, :, None], -1e9, h)
         pick = np.stack([hin.argmax(1), hout.argmax(1)], axis=1)
         top = np.concatenate([hin.max(1), hout.max(1)], axis=1)
         act = np.maximum(top, 0)
-        return e, wide, pick, top, act, act @ self.out + self.shift[0]
+        return wide, pick, top, act, act @ self.out + self.shift[0]
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        """What forward() ends with, in single precision and without what training needs."""
+        out = [np.zeros(0)]
+        for at in range(0, len(x), 256):
+            _, h = self.filtered(x[at : at + 256], np.float32)
+            top = np.concatenate([h[:, INSIDE].max(1), np.maximum(h[:, : INSIDE.start].max(1), h[:, INSIDE.stop :].max(1))], axis=1)
+            out.append(np.maximum(top, 0) @ self.out + self.shift[0])
+        return np.concatenate(out)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.concatenate([self.forward(x[i : i + 512])[-1] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.offset, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.offset, -50, 50)))
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean logistic loss, for each of parts()."""
+        wide, pick, top, act, z = self.forward(x)
+        d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(x)
+        d_top = (d[:, None] * self.out) * (top > 0)
+        g_conv, g_bias, g_embed = np.zeros_like(self.conv), np.zeros_like(self.bias), np.zeros_like(self.embed)
+        rows = np.arange(len(x))
+        for half in (0, 1):
+            at, part = pick[:, half], d_top[:, half * FILTERS : (half + 1) * FILTERS]
+            for f in range(FILTERS):
+                g_conv[:, f] += wide[rows, at[:, f]].T @ part[:, f]
+                g_bias[f] += part[:, f].sum()
+                back = (part[:, f, None] * self.conv[:, f]).reshape(-1, EMBED)
+                np.add.at(g_embed, x[rows[:, None], at[:, f, None] + np.arange(KERNEL)].ravel(), back)
+        return [g_embed, g_conv, g_bias, act.T @ d, np.array([d.sum()])]
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, seed: int = 11) -> None:
         r, m, v, t = np.random.default_rng(seed), [np.zeros_like(p) for p in self.parts()], [np.zeros_like(p) for p in self.parts()], 0
@@ -101,147 +134,139 @@ class CharCNN:
             order = r.permutation(len(x))
             for i in range(0, len(x), 128):
                 xb, yb = x[order[i : i + 128]], y[order[i : i + 128]]
-                e, wide, pick, top, act, z = self.forward(xb)
-                d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - yb) / len(xb)
-                g_out, g_shift = act.T @ d, np.array([d.sum()])
-                d_top = (d[:, None] * self.out) * (top > 0)
-                g_conv, g_bias, g_embed = np.zeros_like(self.conv), np.zeros_like(self.bias), np.zeros_like(self.embed)
-                rows = np.arange(len(xb))
-                for half in (0, 1):
-                    at, part = pick[:, half], d_top[:, half * FILTERS : (half + 1) * FILTERS]
-                    for f in range(FILTERS):
-                        seen = wide[rows, at[:, f]]
-                        g_conv[:, f] += seen.T @ part[:, f]
-                        g_bias[f] += part[:, f].sum()
-                        back = (part[:, f, None] * self.conv[:, f]).reshape(-1, EMBED)
-                        np.add.at(g_embed, xb[rows[:, None], at[:, f, None] + np.arange(KERNEL)].ravel(), back)
                 t += 1
-                for p, g, a, b in zip(self.parts(), (g_embed, g_conv, g_bias, g_out, g_shift), m, v):
+                for p, g, a, b in zip(self.parts(), self.gradients(xb, yb), m, v):
                     a *= 0.9
                     a += 0.1 * g
                     b *= 0.99
                     b += 0.01 * g * g
                     p -= 0.01 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling on held-out findings; then the highest threshold that keeps the wanted recall on them, 0.5 at least."""
-        self.scale, self.offset = 1.0, 0.0
-        z = np.concatenate([self.forward(x[i : i + 512])[-1] for i in range(0, len(x), 512)])
+    def calibrate(self, x: np.ndarray, y: np.ndarray, kinds: np.ndarray, recall: float) -> None:
+        """Platt scaling on held-out findings; then for each class the highest threshold that keeps the wanted recall.
+
+        A class without a held-out finding adds none.
+        """
+        z = self.logits(x)
         a, b = 1.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
             a -= 0.05 * (((p - y) * z).mean() + 1e-3 * (a - 1))
             b -= 0.05 * (p - y).mean()
         self.scale, self.offset = float(max(a, 0.05)), float(b)
-        own = np.sort(self.score(x[y == 1]))
-        self.threshold = float(max(0.5, own[int((1 - recall) * len(own))])) if len(own) else 0.5
+        for k in range(len(CLASSES)):
+            own = np.sort(self.score(x[(y == 1) & (kinds == k)]))
+            self.thresholds[k] = own[int((1 - recall) * len(own))] if len(own) else np.inf
 
 
-ALPHABETS = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "hex": "0123456789abcdef"}
+ALPHABETS = {"letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "hex": "0123456789abcdef"}
 
 
-def made_findings(n: int, texts: list[str], seed: int = 5) -> list[str]:
-    """Windows with a random key of a common form set into prose of the sample, as positive findings."""
+def made_findings(n: int, texts: list[str], seed: int = 5) -> list[tuple[str, int]]:
+    """(window, class) of random keys of common forms set into prose, as positive findings."""
     r, out = np.random.default_rng(seed), []
     heads = ("", "", "key: ", "auth=", "Bearer ", "export KEY=", "credential: ", "pwd=", "access ", '"')
     for _ in range(n):
-        kind = list(ALPHABETS)[r.integers(4)]
-        size = int(r.integers(18, 65))
+        kind = list(ALPHABETS)[r.integers(len(ALPHABETS))]
+        size = int(r.integers(12, 65))
         body = "".join(ALPHABETS[kind][k] for k in r.integers(0, len(ALPHABETS[kind]), size))
-        if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
-            continue
         prose = texts[r.integers(len(texts))] if texts else "some prose before and after the key"
         cut = int(r.integers(0, max(1, len(prose))))
-        head = heads[r.integers(len(heads))]
-        text = prose[max(0, cut - 40) : cut] + " " + head + body + " " + prose[cut : cut + 40]
-        start = text.index(body, len(prose[max(0, cut - 40) : cut]))
-        out += windows(text, start, start + len(body))[:1]
+        before = prose[max(0, cut - 40) : cut] + " " + heads[r.integers(len(heads))]
+        text = before + body + " " + prose[cut : cut + 40]
+        out.append((windows(text, len(before), len(before) + size)[0], class_of(body)))
     return out
 
 
-def harmless(n: int, texts: list[str], seed: int = 6) -> list[str]:
-    """Windows of long words, numbered slugs, paths, dates and numbers, as negative findings besides those of the sample."""
+def harmless(n: int, texts: list[str], seed: int = 6) -> list[tuple[str, int]]:
+    """(window, class) of long words, numbered slugs, paths, dates and numbers, as negative findings besides real ones."""
     r, out = np.random.default_rng(seed), []
     for _ in range(n):
         words = (texts[r.integers(len(texts))] if texts else "plain words of some length follow here").split() or ["word"]
         pick = [re.sub(r"[^A-Za-z]", "", words[r.integers(len(words))]) or "word" for _ in range(4)]
-        form = r.integers(5)
+        form = r.integers(6)
         body = (
             "-".join(pick[:3]) + "-" + str(r.integers(1, 9999)) if form == 0
             else "/" + "/".join(pick[:2]) + "/" + str(r.integers(1900, 2030)) + "/" + pick[2] if form == 1
             else f"{r.integers(1900, 2030)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}T{r.integers(0, 24):02d}-{r.integers(0, 60):02d}-00Z" if form == 2
             else "_".join(pick) + str(r.integers(1, 99)) if form == 3
-            else "".join(pick).lower() + str(r.integers(1, 9999))
+            else "".join(pick).lower() + str(r.integers(1, 9999)) if form == 4
+            else "-".join(pick)
         )
-        if len(body) >= 16:
-            text = " ".join(pick) + " " + body + " " + " ".join(words[:6])
-            out += windows(text, len(" ".join(pick)) + 1, len(" ".join(pick)) + 1 + len(body))[:1]
+        if len(body) >= 12:
+            before = " ".join(pick) + " "
+            out.append((windows(before + body + " " + " ".join(words[:6]), len(before), len(before) + len(body))[0], class_of(body)))
     return out
 
 
-def train(docs: DataFrame, sample_rows: int = 2000, findings: int = 3000, recall: float = 0.95) -> CharCNN:
-    """Fit the network on the driver.
+def train(docs: DataFrame, sample_rows: int = 2000, findings: int = 3000, recall: float = 0.95, per_document: int = 8) -> CharCNN:
+    """Fit the network on the driver, and keep a fifth of all findings for calibration.
 
-    Labelled findings: base-rule findings and made keys are positive, other candidates of the sample and made harmless
-    runs negative. At most `findings` of each kind from about `sample_rows` documents; the network's size is fixed.
+    Labelled findings: of about `sample_rows` documents at most `per_document` base findings (positive) and as many
+    other candidates (negative) each; of either at most `findings`, by the hash of their windows, besides as many made
+    keys and made harmless runs. The network's size is fixed. Null and empty texts give none.
     """
-    per_doc = 8
 
     def gather(batches):
         for batch in batches:
-            kept: list[tuple[str, int]] = []
+            kept: list[tuple[str, int, int]] = []
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
                 base = base_spans(text)
-                kept += [(w, 1) for _, s, e in base[:per_doc] for w in windows(text, s, e)[:1]]
+                kept += [(w, 1, class_of(text[s:e])) for _, s, e in base[:per_document] for w in windows(text, s, e)[:1]]
                 other = [c for c in candidates(text) if not any(s < c[1] and c[0] < e for _, s, e in base)]
-                kept += [(w, 0) for s, e in other[:per_doc] for w in windows(text, s, e)[:1]]
-                kept += [(text[len(text) // 2 : len(text) // 2 + WIDTH].ljust(WIDTH, "\0"), 2)]
-            yield pa.RecordBatch.from_pydict({"w": [w for w, _ in kept], "y": [y for _, y in kept]}, schema=pa.schema([("w", pa.string()), ("y", pa.int32())]))
-
-    rows = sample_docs(docs.select("doc_id", "text"), sample_rows).select("text").mapInArrow(gather, "w string, y int").orderBy("y", "w").limit(12 * sample_rows).collect()
-    prose = [w.w.replace("\0", "") for w in rows if w.y == 2]
-    r = np.random.default_rng(3)
-    seen = {k: [w.w for w in rows if w.y == k] for k in (0, 1)}
-    pick = lambda xs: [xs[i] for i in sorted(r.permutation(len(xs))[:findings])]
-    positive, negative = pick(seen[1]) + made_findings(findings, prose), pick(seen[0]) + harmless(findings, prose)
-    x, y = encode(positive + negative), np.array([1.0] * len(positive) + [0.0] * len(negative))
-    order = r.permutation(len(x))
+                step = max(1, len(other) // per_document)
+                kept += [(w, 0, class_of(text[s:e])) for s, e in other[::step][:per_document] for w in windows(text, s, e)[:1]]
+                kept.append((text[len(text) // 2 : len(text) // 2 + WIDTH].ljust(WIDTH, "\0"), 2, 0))
+            yield pa.RecordBatch.from_pydict({"w": [k[0] for k in kept], "y": [k[1] for k in kept], "kind": [k[2] for k in kept]}, schema=pa.schema([("w", pa.string()), ("y", pa.int32()), ("kind", pa.int32())]))
+
+    found = materialize(sample_docs(docs.select("doc_id", "text"), sample_rows).select("text").mapInArrow(gather, "w string, y int, kind int"), "findings")
+    negative, positive, prose = ([(r.w, r.kind) for r in found.where(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(findings).collect()] for y in range(3))
+    texts = [w.replace("\0", "") for w, _ in prose]
+    positive, negative = positive + made_findings(findings, texts), negative + harmless(findings, texts)
+    x, y = encode([w for w, _ in positive + negative]), np.array([1.0] * len(positive) + [0.0] * len(negative))
+    kinds = np.array([k for _, k in positive + negative])
+    order = np.random.default_rng(3).permutation(len(x))
     held = len(x) // 5
     model = CharCNN()
     model.fit(x[order[held:]], y[order[held:]])
-    model.calibrate(x[order[:held]], y[order[:held]], recall)
+    model.calibrate(x[order[:held]], y[order[:held]], kinds[order[:held]], recall)
     return model
 
 
-def find(texts: list[str | None], model: CharCNN | None) -> list[list[tuple[str, int, int]]]:
-    """All spans of each text: base spans, and candidates beside them that the network takes for keys (kind `model`)."""
-    result, queue, owner = [], [], []
+def find(texts: list[str | None], model: CharCNN) -> list[list[tuple[str, int, int, float]]]:
+    """All spans of each text with their scores: base spans, and others that the network takes for keys (kind `model`).
+
+    Every candidate and every base span is scored; a span of the network's stands unless a base span covers it. A long
+    run has the highest score of its windows.
+    """
+    queue, owner, at = [], [], {}
     for i, text in enumerate(texts):
-        base = base_spans(text) if text else []
-        result.append(base)
-        if not text or model is None:
+        if not text:
             continue
-        for s, e in candidates(text):
-            if not any(a < e and s < b for _, a, b in base):
-                for w in windows(text, s, e):
-                    queue.append(w)
-                    owner.append((i, s, e))
-    if queue:
-        scores = np.concatenate([model.score(encode(queue[i : i + 4096])) for i in range(0, len(queue), 4096)])
-        for i, s, e in dict.fromkeys(o for o, p in zip(owner, scores) if p >= model.threshold):
-            result[i].append(("model", s, e))
+        base = base_spans(text)
+        for span in (*base, *(("model", *c) for c in candidates(text) if not any(s <= c[0] and c[1] <= e for _, s, e in base))):
+            for w in windows(text, *span[1:]):
+                queue.append(w)
+                owner.append(at.setdefault((i, *span), len(at)))
+    scores = np.zeros(len(at))
+    for k in range(0, len(queue), 4096):
+        np.maximum.at(scores, owner[k : k + 4096], model.score(encode(queue[k : k + 4096])))
+    result: list[list] = [[] for _ in texts]
+    for (i, kind, s, e), p in zip(at, scores.tolist()):
+        if kind != "model" or p >= model.thresholds[class_of(texts[i][s:e])]:
+            result[i].append((kind, s, e, p))
     order = {k: n for n, k in enumerate((*KINDS, "model"))}
     return [sorted(x, key=lambda s: (s[1], order[s[0]], s[2])) for x in result]
 
 
-def joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+def joined(spans: list[tuple]) -> str:
+    return ",".join(f"{k}:{s}:{e}" for k, s, e, _ in spans)
 
 
 def scan_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
-    """One row per document: counts and digest of base findings, and all spans (code points, end exclusive).
+    """One row per document: counts and digest of base findings, all spans (code points, end exclusive), their scores.
 
     Null or empty texts have no finding; repeated rows stay repeated; other columns are not read. An empty table gives
     an empty result. Texts are read whole.
@@ -251,7 +276,7 @@ def scan_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
     def scan(batches):
         for batch in batches:
             ids = batch.column(0)
-            out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_extra")}
+            out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores", "n_extra")}
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):
                 for spans in find(texts[at : at + 256], model):
@@ -260,15 +285,20 @@ def scan_secrets(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
                         out[f"n_{k}"].append(sum(s[0] == k for s in base))
                     out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
                     out["spans"].append(joined(spans))
+                    out["scores"].append(",".join(f"{s[3]:.3f}" for s in spans))
                     out["n_extra"].append(len(spans) - len(base))
             longs = [pa.array(out[k], pa.int64()) for k in ("n_assign", "n_access", "n_hex")]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *longs, pa.array(out["base_sha256"], pa.string()), pa.array(out["spans"], pa.string()), pa.array(out["n_extra"], pa.int64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_extra"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *longs, pa.array(out["base_sha256"], pa.string()), pa.array(out["spans"], pa.string()), pa.array(out["scores"], pa.string()), pa.array(out["n_extra"], pa.int64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores", "n_extra"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
 
 
 def redact_secrets(docs: DataFrame, model: CharCNN | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """The documents, their own columns kept, with every found span of text replaced by a mark and n_chars counted anew."""
+    """The documents, their own columns kept, with every found span of text replaced by a mark and n_chars counted anew.
+
+    Overlapping spans give one mark. Null and empty texts stay, repeated rows stay repeated, long texts are read whole,
+    an empty table gives an empty result.
+    """
     model = model or train(docs)
     names, schema = docs.columns, docs.schema
 
@@ -282,7 +312,7 @@ def redact_secrets(docs: DataFrame, model: CharCNN | None = None, mark: str = "[
                 for text, spans in zip(part, find(part, model)):
                     if spans:
                         pieces, last = [], 0
-                        for s, e in sorted((s, e) for _, s, e in spans):
+                        for s, e in sorted(x[1:3] for x in spans):
                             if s >= last:
                                 pieces += [text[last:s], mark]
                             last = max(last, e)
