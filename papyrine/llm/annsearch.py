@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from papyrine.llm.common import materialize, sample_docs
 
-CENTROIDS = 32
+CENTROIDS = 256  # a half, and a fourth of the sample at most
 SAMPLE = 20_000
-UNITS = 128
+UNITS, UNIT_ROWS = 128, 1 << 16  # units at least, rows of one at most
+NEAR = 1e-9  # what products of matrices may be off, for they depend on the shape
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -40,6 +41,7 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, k: int = CENTROIDS):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.half = unit.shape[1] // 2
+        k = max(1, min(k, len(unit) // 4))
         self.books = [kmeans(unit[:, : self.half], k), kmeans(unit[:, self.half :], k, seed=2)]
         self.k = max(len(b) for b in self.books)
 
@@ -51,12 +53,12 @@ class MultiIndex:
         a, b = self.distances(x)
         return a.argmin(1) * self.k + b.argmin(1)
 
-    def walk(self, first: np.ndarray, second: np.ndarray, sizes: dict[int, int], enough: int) -> list[int]:
-        """Cells that hold rows, nearest first, until they hold `enough`."""
+    def walk(self, first: np.ndarray, second: np.ndarray, sizes: dict[int, int], enough: float) -> tuple[list[int], float]:
+        """Cells that hold rows, nearest first, until they hold `enough`, and the summed distance of the last."""
         a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-        heap, seen, out, held = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
+        heap, seen, out, held, far = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0, 0.0
         while heap and held < enough:
-            _, i, j = heapq.heappop(heap)
+            far, i, j = heapq.heappop(heap)
             cell = int(a[i]) * self.k + int(b[j])
             if n := sizes.get(cell, 0):
                 out.append(cell)
@@ -65,7 +67,7 @@ class MultiIndex:
                 if p < len(a) and q < len(b) and (p, q) not in seen:
                     seen.add((p, q))
                     heapq.heappush(heap, (first[a[p]] + second[b[q]], p, q))
-        return out
+        return out, far
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -75,7 +77,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def units_of(sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
     """First unit and number of units of each cell: small cells share a unit, a full cell is dealt over several of its own."""
-    unit = max(64, math.ceil(sum(sizes.values()) / UNITS))
+    unit = min(UNIT_ROWS, max(64, math.ceil(sum(sizes.values()) / UNITS)))
     base, parts, at, room = {}, {}, 0, unit
     for cell in sorted(sizes):
         n = sizes[cell]
@@ -89,6 +91,11 @@ def units_of(sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
     return base, parts
 
 
+def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosine of one vector with each row, in double precision; equal rows give equal values wherever they stand."""
+    return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows whose vector is neither null nor zero, has only finite components, and is as long as most are."""
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -97,13 +104,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.size("embedding") == (size.n if size else 0))
 
 
-def search(vectors: DataFrame, every: int = 50, top: int = 5, share: float = 0.55, least: int = 2000) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, top: int = 5, share: float = 0.4) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest rows of each row whose vec_id is divisible by `every`.
 
-    A query looks at the nearest cells that hold `share` of the rows, `least` at least. Nearest first, ties to the
-    smaller vec_id; a row is no candidate of its own, a repeated row is one. Vectors that are null, zero, of another
-    length, or hold null or non-finite components take no part; other columns are not read. An empty table gives an
-    empty result. A full cell is dealt out in units, so no task holds more than a fixed share of the rows.
+    A query looks at the nearest cells that hold `share` of the rows. Nearest first, ties to the smaller vec_id; a row
+    is no candidate of its own, a repeated row is one. Scores are computed from the original vectors. Vectors that are
+    null, zero, of another length, or hold null or non-finite components take no part; other columns are not read. An
+    empty table gives an empty result. Cells are dealt to units of bounded size, a full cell to several.
     """
     spark = vectors.sparkSession
     good = usable(vectors)
@@ -111,41 +118,47 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, share: float = 0.5
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = MultiIndex(matrix(sample["embedding"]))
+    kind = good.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
 
     def assign(batches):
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index.cells(matrix(batch.column(2))), pa.int32())], names=["vec_id", "row", "embedding", "cell"])
 
-    numbered = good.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.col("embedding").cast("array<float>"))
-    stored = materialize(numbered.mapInArrow(assign, "vec_id long, row long, embedding array<float>, cell int"), "cells")
+    numbered = good.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.col("embedding").cast(kind))
+    stored = materialize(numbered.mapInArrow(assign, f"vec_id long, row long, embedding {kind}, cell int"), "cells")
     sizes = {r.cell: r["count"] for r in stored.groupBy("cell").count().collect()}
-    total = sum(sizes.values())
-    enough = max(least, math.ceil(share * total))
+    enough = share * sum(sizes.values())
     base, parts = units_of(sizes)
 
+    def deal(batches):
+        """A row for each row, with its unit."""
+        first, many = (np.zeros(index.k * index.k, dtype=np.int64) for _ in range(2))
+        first[list(base)], many[list(parts)] = list(base.values()), list(parts.values())
+        for batch in batches:
+            cell, row = batch.column(3).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array((first[cell] + (row ^ row >> 33) % many[cell]).astype(np.int32)), *batch.columns], names=["unit", "vec_id", "row", "embedding", "cell"])
+
     def route(batches):
-        """A row for each query and unit it visits, with the cells it visits there."""
+        """A row for each query and unit it visits, with the distance of the last cell it looks at."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             first, second = index.distances(matrix(batch.column(1)))
-            rows, units, cells = [], [], []
+            rows, units, limits = [], [], []
             for i in range(batch.num_rows):
-                visited: dict[int, list[int]] = {}
-                for cell in index.walk(first[i], second[i], sizes, enough):
-                    for p in range(parts[cell]):
-                        visited.setdefault(base[cell] + p, []).append(cell)
+                cells, far = index.walk(first[i], second[i], sizes, enough)
+                visited = {base[c] + p for c in cells for p in range(parts[c])}
                 rows += [i] * len(visited)
-                units += visited.keys()
-                cells += visited.values()
+                units += sorted(visited)
+                limits += [far] * len(visited)
             picked = batch.take(pa.array(rows, pa.int64()))
             for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([*picked.slice(at, 20_000).columns, pa.array(units[at : at + 20_000], pa.int32()), pa.array(cells[at : at + 20_000], pa.list_(pa.int32()))], names=["row", "embedding", "unit", "cells"])
+                yield pa.RecordBatch.from_arrays([*picked.slice(at, 20_000).columns, pa.array(units[at : at + 20_000], pa.int32()), pa.array(limits[at : at + 20_000], pa.float64())], names=["row", "embedding", "unit", "far"])
 
-    queries = stored.where(F.col("vec_id") % every == 0).select("row", "embedding").mapInArrow(route, "row long, embedding array<float>, unit int, cells array<int>")
-    of_cell = lambda values: F.element_at(F.create_map(*[F.lit(x) for c in sorted(values) for x in (c, values[c])]), F.col("cell"))
-    dealt = stored.withColumn("unit", (of_cell(base) + F.pmod(F.xxhash64("row"), of_cell(parts))).cast("int"))
+    queries = stored.where(F.col("vec_id") % every == 0).select("row", "embedding").mapInArrow(route, f"row long, embedding {kind}, unit int, far double")
+    dealt = stored.mapInArrow(deal, f"unit int, vec_id long, row long, embedding {kind}, cell int")
 
     def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
         names = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -154,23 +167,22 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, share: float = 0.5
         x, rows, ids, cell = matrix(held["embedding"]), held["row"].to_numpy(), held["vec_id"].to_numpy(), held["cell"].to_numpy()
         length = np.linalg.norm(x, axis=1)
         found: list[tuple] = []
-        own, visits = asked["row"].to_numpy(), asked["cells"].to_pylist()
-        q = matrix(asked["embedding"])
+        own, q, far = asked["row"].to_numpy(), matrix(asked["embedding"]), asked["far"].to_numpy()
         for at in range(0, len(q), 512):
             part = q[at : at + 512]
-            open_cells = np.zeros((len(part), index.k * index.k), dtype=bool)
-            for i, listed in enumerate(visits[at : at + 512]):
-                open_cells[i, listed] = True
+            first, second = index.distances(part)
+            looked = first[:, cell // index.k] + second[:, cell % index.k] <= far[at : at + 512, None] + NEAR
             near = (part @ x.T) / (np.linalg.norm(part, axis=1)[:, None] * length)
-            near[(own[at : at + 512, None] == rows) | ~open_cells[:, cell]] = -np.inf
+            near[(own[at : at + 512, None] == rows) | ~looked] = -np.inf
             for i, line in enumerate(near):
-                cut = np.partition(line, -top)[-top] if len(line) > top else -np.inf
+                cut = np.partition(line, -top)[-top] - NEAR if len(line) > top else -np.inf
                 some = np.flatnonzero((line >= cut) & (line > -np.inf))
-                best = some[np.lexsort((ids[some], -line[some]))][:top]
-                found.append((np.full(len(best), own[at + i]), ids[best], line[best]))
+                score = cosines(part[i], x[some])
+                best = np.lexsort((ids[some], -score))[:top]
+                found.append((np.full(len(best), own[at + i]), ids[some][best], score[best]))
         return pa.table([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], schema=names)
 
-    near = queries.groupBy("unit").cogroup(dealt.select("unit", "row", "vec_id", "embedding", "cell").groupBy("unit")).applyInArrow(rerank, "row long, vec_id long, score double")
+    near = queries.groupBy("unit").cogroup(dealt.groupBy("unit")).applyInArrow(rerank, "row long, vec_id long, score double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
     asked = stored.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"))
     return ranked.join(asked, "row").select("query_id", F.col("rank").cast("int"), "vec_id", "score")

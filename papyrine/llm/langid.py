@@ -28,7 +28,7 @@ SCRIPTS = {
 NAMES = (*SCRIPTS, "other")
 BUCKETS = 1 << 17
 CACHE_WORDS = 200_000
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, spans string"
+SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, spans string, known double"
 
 
 def script_of(word: str) -> int:
@@ -79,14 +79,20 @@ class Model:
         share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
         logs = np.log(share)
         self.table = (logs - logs.mean(axis=0)).T.astype(np.float32).copy()  # bucket x language
+        seen = (counts + 0.01) / (counts.sum(axis=1, keepdims=True) + 0.01 * BUCKETS)
+        self.known = np.log(seen.max(axis=0) * BUCKETS).astype(np.float32)  # against a language of all features alike
         total = by_script.sum(axis=1, keepdims=True)
         may = by_script >= 0.001 * np.maximum(total, 1)
         may &= by_script > 0
         may[:, ~may.any(axis=0)] = True  # a script never seen narrows nothing
         self.may = may.T  # script x language
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """Log scores of each word, at most +-8 apart; zero without a letter; impossible languages by script far below."""
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log scores of each word, at most 8 apart, and whether its features are those of a learned language.
+
+        Zero without a letter; impossible languages by script far below.
+        """
+        familiar = np.zeros(len(words), dtype=bool)
         out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
         scripts = np.array([script_of(w) for w in words])
         told = np.flatnonzero(scripts >= 0)
@@ -96,7 +102,8 @@ class Model:
                 out[told, k] = np.bincount(owner, weights=self.table[bucket, k], minlength=len(told))
             out[told] = np.clip(out[told] - out[told].max(axis=1, keepdims=True), -8, 0)
             out[told] -= np.where(self.may[scripts[told]], 0, 20).astype(np.float32)
-        return out
+            familiar[told] = np.bincount(owner, weights=self.known[bucket], minlength=len(told)) > 0
+        return out, familiar
 
 
 def train(docs: DataFrame, sample_rows: int = 6000) -> Model:
@@ -156,7 +163,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     k = scores[0].shape[1]
     flat = np.concatenate([scores[i] for i in order])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    came = np.zeros(flat.shape, dtype=np.int8)
+    came = np.zeros(flat.shape, dtype=np.int16)
     best = np.zeros((len(order), k), dtype=np.float32)
     own = np.arange(k)
     longest = int(sizes[0])
@@ -171,7 +178,7 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
             came[at] = np.where(stay, own, top[:, None])
             best[:n] = np.where(stay, best[:n], jump[:, None])
         best[:n] += flat[at]
-    label = np.zeros(len(flat), dtype=np.int8)
+    label = np.zeros(len(flat), dtype=np.int16)
     now = best.argmax(axis=1)
     for t in range(longest - 1, -1, -1):
         n = alive[t]
@@ -190,25 +197,26 @@ class Labeller:
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty, self.seen = model, penalty, {}
         self.matrix = np.zeros((0, len(model.langs)), dtype=np.float32)
-        self.weight = np.zeros(0)
+        self.weight, self.familiar = np.zeros(0), np.zeros(0, dtype=bool)
 
     def learn(self, texts: list[list[str]]) -> None:
         if len(self.seen) > CACHE_WORDS:
-            self.seen, self.matrix, self.weight = {}, self.matrix[:0], self.weight[:0]
+            self.seen, self.matrix, self.weight, self.familiar = {}, self.matrix[:0], self.weight[:0], self.familiar[:0]
         fresh = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in self.seen]
         base = len(self.seen)
         self.seen.update((w, base + i) for i, w in enumerate(fresh))
         parts = [self.model.score(fresh[i : i + 20000]) for i in range(0, len(fresh), 20000)]
-        self.matrix = np.concatenate([self.matrix, *parts])
+        self.matrix = np.concatenate([self.matrix, *(p[0] for p in parts)])
+        self.familiar = np.concatenate([self.familiar, *(p[1] for p in parts)])
         self.weight = np.concatenate([self.weight, np.array([sum(map(str.isalpha, w)) for w in fresh], dtype=float)])
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float, str]]:
-        """(language, its share of the letters, spans lang:first word:word after the last) for each text."""
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, str, float]]:
+        """(language, its share of the letters, spans lang:first word:word after the last, share of familiar letters)."""
         split = [words_of(t) if t else [] for t in texts]
         self.learn(split)
         ids = [np.fromiter(map(self.seen.__getitem__, w), dtype=np.int64, count=len(w)) for w in split]
         told = [i for i, x in enumerate(ids) if len(x) and self.weight[x].sum() > 0]
-        out = [("und", 0.0, "")] * len(texts)
+        out = [("und", 0.0, "", 0.0)] * len(texts)
         if not told:
             return out
         for i, path in zip(told, viterbi([self.matrix[ids[i]] for i in told], self.penalty)):
@@ -217,15 +225,17 @@ class Labeller:
             edges = [0, *cut.tolist(), len(path)]
             spans = ",".join(f"{self.model.langs[path[a]]}:{a}:{b}" for a, b in zip(edges, edges[1:]))
             k = int(share.argmax())
-            out[i] = (self.model.langs[k], float(share[k] / share.sum()), spans)
+            known = float(self.weight[ids[i]] @ self.familiar[ids[i]] / self.weight[ids[i]].sum())
+            out[i] = (self.model.langs[k], float(share[k] / share.sum()), spans, known)
         return out
 
 
 def identify(docs: DataFrame, model: Model | None = None, penalty: float = 6.0) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, spans (lang:first:end in whitespace-split words).
+    """One row per document: doc_id, held_out, lang_pred, score, spans (lang:first:end in whitespace-split words), known.
 
     lang_pred is the language with most letters in the Viterbi spans (ties: first by name), score its share of letters.
-    A text that is null or has no letter gets `und`, score 0 and no spans. Repeated rows stay repeated; other columns are
+    `known` is the share of letters in words whose features a learned language makes likelier than chance does.
+    A text that is null or has no letter gets `und`, scores 0 and no spans. Repeated rows stay repeated; other columns are
     not read. An empty table gives an empty result. Texts are read whole.
     """
     model = model or train(docs)
@@ -243,13 +253,18 @@ def identify(docs: DataFrame, model: Model | None = None, penalty: float = 6.0)
                     end += 1
                 found += labeller.label(texts[at:end])
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.string())], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.string()), pa.array([x[3] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score", "spans", "known"])
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, model: Model | None = None, penalty: float = 6.0, least: float = 0.3) -> DataFrame:
-    """The documents, their own columns kept, whose language is known and covers at least `least` of their letters."""
+def keep_identified(docs: DataFrame, model: Model | None = None, penalty: float = 6.0, least: float = 0.3, least_known: float = 0.3) -> DataFrame:
+    """The documents, their own columns kept, whose language covers `least` of their letters and is a learned one.
+
+    At least `least_known` of the letters stand in words that look like a learned language: texts in a script or
+    language never learned go, as do null texts and those without a letter. Repeated rows stay repeated, long texts are
+    read whole, columns may have any name. An empty table gives an empty result.
+    """
     model = model or train(docs)
 
     def run(batches):
@@ -263,8 +278,6 @@ def keep_identified(docs: DataFrame, model: Model | None = None, penalty: float
                     end += 1
                 found += labeller.label(texts[at:end])
                 at = end
-            yield batch.filter(pa.array([k != "und" and s >= least for k, s, _ in found], pa.bool_()))
+            yield batch.filter(pa.array([k != "und" and s >= least and known >= least_known for k, s, _, known in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-

@@ -52,8 +52,44 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def url_sql() -> str:
+    """The rules and the rounds of op8_urlfilter, each round a common table expression."""
+    fits = [(f"(host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '{p}')", kind, h + p) for kind, h, p in sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))]
+    rule, ruled = (f"CASE {' '.join(f'WHEN {f[0]} THEN {chr(39)}{f[i]}{chr(39)}' for f in fits)} END" for i in (2, 1))
+    upper, lower, link = urlfilter.UPPER, urlfilter.LOWER, urlfilter.LINK.replace("'", "''")
+    steps = []
+    for name, seed, a, b in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
+        steps.append(f"{name}_seed AS (SELECT host, 1.0::DOUBLE AS seed FROM ruled WHERE {seed} >= 0.5)")
+        steps.append(f"{name}_share AS (SELECT {a} AS a, {b} AS b, weight / sum(weight) OVER (PARTITION BY {a}) AS share FROM edges)")
+        steps.append(f"{name}_0 AS (SELECT * FROM {name}_seed)")
+        for i in range(urlfilter.ROUNDS):
+            sent = f"SELECT b AS host, {urlfilter.DAMPING} * x.seed * share AS seed FROM {name}_{i} x JOIN {name}_share ON x.host = a"
+            restart = f"SELECT host, {1 - urlfilter.DAMPING} * seed AS seed FROM {name}_seed"
+            steps.append(f"{name}_{i + 1} AS MATERIALIZED (SELECT host, sum(seed) AS seed FROM ({sent} UNION ALL {restart}) GROUP BY host)")
+    last = urlfilter.ROUNDS
+    return f"""
+WITH rest AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, html, translate(regexp_extract(r, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), judged AS (
+  SELECT page_id, html, host, path, {rule} AS rule, {ruled} AS ruled FROM parts
+), ruled AS (
+  SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS good, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS bad FROM judged GROUP BY host
+), links AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{upper}', '{lower}') AS dst FROM parts
+), edges AS (
+  SELECT src, dst, count(*)::DOUBLE AS weight FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst
+), {", ".join(steps)}
+SELECT page_id, j.host, path, rule,
+  CASE WHEN ruled IS NOT NULL THEN ruled WHEN j.host <> '' AND coalesce(d.seed, 0) >= {urlfilter.THRESHOLD} AND coalesce(d.seed, 0) > coalesce(t.seed, 0) THEN 'block' ELSE 'allow' END AS verdict
+FROM judged j LEFT JOIN t_{last} t ON t.host = j.host LEFT JOIN d_{last} d ON d.host = j.host
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_pii, op4_packing, op5_annsearch, op6_simhash, op7_warc, op8_urlfilter, op9_langid, op10_quality)}
 ORACLES: dict[str, str] = {
+    "op8_urlfilter": url_sql(),
     "op7_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -78,7 +114,8 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(8) AS r(j) GROUP BY doc_id
 ), failing AS (
   SELECT doc_id, list_filter(l, lambda x: (2 * (length(x) - length(regexp_replace(x, '[#*$%&|<>!]+', '', 'g'))) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) > 1)
-    OR regexp_matches(x, '{quality.NAVIGATION}') OR regexp_matches(lower(x), '{"|".join(quality.BOILERPLATE)}')) AS f FROM w
+    OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= {quality.LONG_LINE} AND NOT regexp_matches(x, '{quality.SENTENCE_END.replace("'", "''")}'))
+    OR regexp_matches(x, '{quality.NAVIGATION}') OR regexp_matches(lower(x), '{"|".join(quality.BOILERPLATE).replace("'", "''")}')) AS f FROM w
 ), m AS (
   SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(f)::BIGINT AS n_failed_lines, length(regexp_replace(array_to_string(f, ''), '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS lost_chars

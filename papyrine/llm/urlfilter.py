@@ -10,6 +10,7 @@ from papyrine.llm.common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+ROUNDS, DAMPING, THRESHOLD = 12, 0.85, 0.05
 LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -30,7 +31,7 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85, every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 4) -> DataFrame:
     """Personalised PageRank over (src, dst, weight) with restart at (host, seed): (host, score)."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
@@ -54,8 +55,8 @@ def host_scores(judged: DataFrame, links: DataFrame) -> DataFrame:
     seeds = materialize(ruled.select("host", (F.col("good") >= 0.5).cast("double").alias("t"), (F.col("bad") >= 0.5).cast("double").alias("d")).where("t > 0 or d > 0"), "seeds")
     edges = materialize(links.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")), "host-edges")
     trusted, blocked = seeds.where("t > 0").select("host", F.col("t").alias("seed")), seeds.where("d > 0").select("host", F.col("d").alias("seed"))
-    if edges.isEmpty():
-        trust, distrust = (x.select("host", F.col("seed").alias("score")) for x in (trusted, blocked))
+    if edges.isEmpty():  # what propagate() gives then
+        trust, distrust = (x.select("host", ((1 - DAMPING) * F.col("seed")).alias("score")) for x in (trusted, blocked))
     else:
         trust = propagate(edges, trusted)
         distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), blocked)
@@ -63,7 +64,7 @@ def host_scores(judged: DataFrame, links: DataFrame) -> DataFrame:
     return both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 0.05) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page.
 
     A page that a rule fits takes the longest rule's verdict. Any other is blocked if its host's distrust is at least
@@ -76,6 +77,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.05) -> DataFrame:
     judged = parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     links = parts.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to")).select("src", F.translate("to", UPPER, LOWER).alias("dst"))
     scores = materialize(host_scores(judged, links), "host-scores")
-    left = judged.join(scores, "host", "left")
+    # Pages without a host have no score; a salt keeps them from meeting in one task.
+    salted = judged.withColumn("salt", F.when(F.col("host") == "", F.pmod(F.xxhash64("page_id"), F.lit(1 << 16)) + 1).otherwise(F.lit(0)))
+    left = salted.join(scores.withColumn("salt", F.lit(0).cast("long")), ["host", "salt"], "left")
     distrusted = (F.coalesce("distrust", F.lit(0.0)) >= threshold) & (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)))
     return left.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(distrusted & (F.col("host") != ""), "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -36,9 +36,12 @@ def marked(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"))
     narrow = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes"))
     groups = narrow.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "bytes", "first")
-    keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
+    # Short payloads have no group; a salt keeps equal ones, such as empty pages, from meeting in one task.
+    salt = F.when(F.col("bytes") < least, F.pmod(F.xxhash64("page_id"), F.lit(1 << 16)) + 1).otherwise(F.lit(0))
+    keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload")).withColumn("salt", salt)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return keyed.join(materialize(groups, "payload-groups"), ["digest", "bytes"], "left").select(
+    known = materialize(groups, "payload-groups").withColumn("salt", F.lit(0).cast("long"))
+    return keyed.join(known, ["digest", "bytes", "salt"], "left").select(
         "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to")
     )
 
@@ -92,28 +95,31 @@ class Window:
     """Bytes of a file from an offset on, read as they are needed."""
 
     def __init__(self, stream, start: int):
-        self.stream, self.start, self.data, self.ended = stream, start, b"", False
+        self.stream, self.start, self.data, self.ended = stream, start, bytearray(), False
         stream.seek(start)
 
     def more(self) -> bool:
         if not self.ended:
             got = self.stream.read(READ)
-            self.data, self.ended = self.data + got, not got
+            self.data += got
+            self.ended = not got
         return not self.ended
 
     def drop(self, upto: int) -> None:
-        self.data, self.start = self.data[upto - self.start :], upto
+        del self.data[: upto - self.start]
+        self.start = upto
 
 
 def unpack(view: Window, at: int) -> tuple[bytes, int] | None:
-    """The member at offset `at` and the offset behind it, or None if no WARC record starts there."""
-    unzip, out, seen = zlib.decompressobj(31), [], at
-    known = False
-    while True:
-        part = view.data[seen - view.start :]
-        if not part and not view.more():
+    """The member at offset `at` and the offset behind it, or None if no WARC record starts there.
+
+    A false magic costs what 256 bytes decompress to; each byte of a member is looked at once.
+    """
+    unzip, out, seen, known = zlib.decompressobj(31), [], at, False
+    while not unzip.eof:
+        if seen - view.start >= len(view.data) and not view.more():
             return None
-        part = view.data[seen - view.start :]
+        part = bytes(memoryview(view.data)[seen - view.start :][: READ if known else 256])
         try:
             out.append(unzip.decompress(part))
         except zlib.error:
@@ -121,12 +127,10 @@ def unpack(view: Window, at: int) -> tuple[bytes, int] | None:
         seen += len(part) - len(unzip.unused_data)
         if not known:
             head = b"".join(out)
-            if len(head) >= 5:
-                if not head.startswith(b"WARC/"):
-                    return None
-                known = True
-        if unzip.eof:
-            return (b"".join(out), seen) if known else None
+            known = head.startswith(b"WARC/")
+            if len(head) >= 5 and not known:
+                return None
+    return (b"".join(out), seen) if known else None
 
 
 def records_of(stream, start: int, end: int):
