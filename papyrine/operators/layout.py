@@ -111,17 +111,18 @@ def split_runs(placed: DataFrame) -> DataFrame:
     )
     keyed = placed.select("doc_id", "page_no", "pos", "type", "x0", "y0", "x1", "y1", lines.alias("_lines"))
     ran = keyed.withColumn("_runs", runs_of_lines(F.col("_lines")))
-    texts = ran.where("type = 0").withColumn("_run", F.explode(F.array_distinct("_runs")))
-    own = F.transform(F.filter(F.arrays_zip(F.col("_lines").alias("l"), F.col("_runs").alias("r")), lambda z: z["r"] == F.col("_run")), lambda z: z["l"])
-    parts = texts.withColumn("_own", own)
+    image = F.col("type") == 1  # one row, as if it were a run
+    one = ran.withColumn("run", F.explode(F.when(image, F.array(F.lit(0))).otherwise(F.array_distinct("_runs"))))
+    own = F.transform(F.filter(F.arrays_zip(F.col("_lines").alias("l"), F.col("_runs").alias("r")), lambda z: z["r"] == F.col("run")), lambda z: z["l"])
     raw_text = strip(F.array_join(F.transform("_own", lambda l: l["text"]), "\n"))
-    text_rows = parts.withColumn("_text", raw_text).where(F.length("_text") > C.SHORTEST_TEXT).select(
-        "doc_id", "page_no", "pos", F.col("_run").alias("run"), clean_text("_text").alias("text"), F.bround(F.get("_own", F.lit(0))["font"], 1).alias("font"), F.get("_own", F.lit(0))["bold"].alias("bold"),
-        *[f(F.col("_own")[k]).alias(n) for f, k, n in ((F.array_min, "x0", "left"), (F.array_min, "y0", "top"), (F.array_max, "x1", "right"), (F.array_max, "y1", "bottom"))],
-        F.lit("text").alias("kind"),
+    parts = one.withColumn("_own", own).withColumn("_text", F.when(~image, raw_text)).where(image | (F.length("_text") > C.SHORTEST_TEXT))
+    first = F.get("_own", F.lit(0))
+    box = lambda f, c: F.when(image, F.col(c)).otherwise(f(F.col("_own")[c]))
+    every = parts.select(
+        "doc_id", "page_no", "pos", "run", clean_text("_text").alias("text"), F.when(~image, F.bround(first["font"], 1)).alias("font"), F.when(image, F.lit(False)).otherwise(first["bold"]).alias("bold"),
+        *[box(f, k).alias(n) for f, k, n in ((F.array_min, "x0", "left"), (F.array_min, "y0", "top"), (F.array_max, "x1", "right"), (F.array_max, "y1", "bottom"))],
+        F.when(image, "image").otherwise("text").alias("kind"),
     )
-    images = ran.where("type = 1").select("doc_id", "page_no", "pos", F.lit(0).alias("run"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("font"), F.lit(False).alias("bold"), F.col("x0").alias("left"), F.col("y0").alias("top"), F.col("x1").alias("right"), F.col("y1").alias("bottom"), F.lit("image").alias("kind"))
-    every = text_rows.unionByName(images)
     order = Window.partitionBy("doc_id").orderBy("page_no", "pos", "run")
     return every.withColumn("pos", F.row_number().over(order)).drop("run")
 

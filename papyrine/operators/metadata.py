@@ -5,7 +5,7 @@ Blocks are rows (doc_id, page_no, pos, text, font, bold, top, kind).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.functions import constants as C
@@ -22,30 +22,45 @@ def text_blocks(blocks: DataFrame, *pages: int) -> DataFrame:
     return blocks.where((F.col("kind") == "text") & (F.col("text") != "") & F.col("page_no").isin(*pages))
 
 
+def front(blocks: DataFrame) -> DataFrame:
+    """(doc_id, title, title_top, title_pos, abstract, authors, page_text) from the text blocks of pages 1 and 2, gathered once.
+
+    Title: the largest block of page 1 that is neither junk nor masthead, else the largest. Abstract: the rest of the
+    first block that opens with the word, else the block after it. Authors: persons of the first block below the title,
+    before the abstract, that names any. page_text: page 1.
+    """
+    row = F.struct("page_no", "pos", "text", "top", F.coalesce("font", F.lit(0.0)).alias("font"), F.col("bold").cast("int").alias("bold"), (~is_junk("text") & ~is_masthead("text", "top")).cast("int").alias("plain"))
+    gathered = text_blocks(blocks, 1, 2).groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("_b"))
+    paged = gathered.select("doc_id", "_b", F.filter("_b", lambda x: x["page_no"] == 1).alias("_p"))
+    ranked = F.transform("_p", lambda x: F.struct(x["plain"], x["font"], x["bold"], -x["top"], -x["pos"], x["text"].alias("text"), x["top"].alias("top"), x["pos"].alias("pos")))
+    titled = paged.withColumn("_t", F.array_max(ranked))
+    opens = lambda x: F.startswith(F.lower(strip(x["text"])), F.lit("abstract"))
+    rest = lambda x: F.nullif(strip(F.regexp_replace(strip(x["text"]), r"(?iU)^abstract[\s:.\-—]*", "")), F.lit(""))
+    abstract = F.get(F.array_compact(F.transform("_b", lambda x, i: F.when(opens(x), F.coalesce(rest(x), F.get("_b", i + 1)["text"])))), F.lit(0))
+    below = F.sort_array(F.transform(F.filter("_p", lambda x: x["top"] > F.col("_t.top")), lambda x: F.struct(x["top"].alias("top"), x["pos"].alias("pos"), strip(x["text"]).alias("text"))))
+    stop = F.array_position(F.transform("_below", lambda x: starts_with_any(F.lower(x["text"]), C.BYLINE_STOPS)), F.lit(True))
+    before = F.when(F.col("_stop") == 0, F.col("_below")).otherwise(F.slice("_below", F.lit(1), F.greatest(F.col("_stop") - 1, F.lit(0)).cast("int")))
+    names = F.transform(F.filter("_before", lambda x: ~is_junk(x["text"])), lambda x: F.filter(parse_byline(x["text"]), lambda n: is_person(n)))
+    told = titled.withColumn("_below", below).withColumn("_stop", stop).withColumn("_before", before)
+    return told.select(
+        "doc_id", strip("_t.text").alias("title"), F.col("_t.top").alias("title_top"), F.col("_t.pos").alias("title_pos"), abstract.alias("abstract"),
+        F.get(F.filter(names, lambda n: F.size(n) > 0), F.lit(0)).alias("authors"), F.array_join(F.transform("_p", lambda x: x["text"]), "\n").alias("page_text"),
+    )
+
+
 def titles(blocks: DataFrame) -> DataFrame:
-    """(doc_id, title, title_top, title_pos): the largest block of page 1 that is neither junk nor masthead, else the largest."""
-    order = F.struct((~is_junk("text") & ~is_masthead("text", "top")).cast("int").alias("c"), F.coalesce("font", F.lit(0.0)).alias("f"), F.col("bold").cast("int").alias("b"), (-F.col("top")).alias("t"), (-F.col("pos")).alias("p"))
-    best = text_blocks(blocks, 1).groupBy("doc_id").agg(F.max_by(F.struct("text", "top", "pos"), order).alias("_b"))
-    return best.select("doc_id", strip("_b.text").alias("title"), F.col("_b.top").alias("title_top"), F.col("_b.pos").alias("title_pos"))
+    """(doc_id, title, title_top, title_pos) of documents with text on page 1."""
+    return front(text_blocks(blocks, 1)).select("doc_id", "title", "title_top", "title_pos")
 
 
 def abstracts(blocks: DataFrame) -> DataFrame:
-    """(doc_id, abstract): the rest of the first block on pages 1 and 2 that opens with the word, else the block after it."""
-    order = Window.partitionBy("doc_id").orderBy("page_no", "pos")
-    told = text_blocks(blocks, 1, 2).withColumn("_next", F.lead("text").over(order)).withColumn("_t", strip("text")).where(F.startswith(F.lower("_t"), F.lit("abstract")))
-    rest = F.nullif(strip(F.regexp_replace("_t", r"(?iU)^abstract[\s:.\-—]*", "")), F.lit(""))
-    return told.withColumn("_a", F.coalesce(rest, "_next")).where("_a is not null").groupBy("doc_id").agg(F.min_by("_a", F.struct("page_no", "pos")).alias("abstract"))
+    """(doc_id, abstract) of documents that have one."""
+    return front(blocks).where("abstract is not null").select("doc_id", "abstract")
 
 
-def bylines(blocks: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """(doc_id, authors): persons of the first block below the title, before the abstract, that names any."""
-    found = titles(blocks) if found is None else found
-    below = text_blocks(blocks, 1).join(found.select("doc_id", "title_top"), "doc_id").where("top > title_top").withColumn("_t", strip("text"))
-    order = Window.partitionBy("doc_id").orderBy("top", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    stops = starts_with_any(F.lower("_t"), C.BYLINE_STOPS)
-    before = below.withColumn("_stop", F.max(stops.cast("int")).over(order)).where("_stop = 0").where(~is_junk("_t"))
-    named = before.withColumn("_p", F.filter(parse_byline("_t"), lambda n: is_person(n))).where(F.size("_p") > 0)
-    return named.groupBy("doc_id").agg(F.min_by("_p", F.struct("top", "pos")).alias("authors"))
+def bylines(blocks: DataFrame) -> DataFrame:
+    """(doc_id, authors) of documents that name any."""
+    return front(text_blocks(blocks, 1)).where("authors is not null").select("doc_id", "authors")
 
 
 def first_text(values: Column) -> Column:
@@ -88,10 +103,9 @@ def metadata(
     reach the model. Neither runs where its argument is None; offline switches the look-up off.
     """
     told = texts.select("doc_id", find_doi("full_text").alias("doi"), guess_year("full_text", as_of_year).alias("year"))
-    found = titles(blocks)
-    own = told.join(found.select("doc_id", "title"), "doc_id", "left").join(abstracts(blocks), "doc_id", "left").join(bylines(blocks, found), "doc_id", "left")
+    own = told.join(front(blocks), "doc_id", "left")
     none = F.array().cast("array<string>")
-    own = own.select("doc_id", "doi", "year", F.coalesce("title", F.lit("")).alias("title"), "abstract", F.coalesce("authors", none).alias("authors"))
+    own = own.select("doc_id", "doi", "year", F.coalesce("title", F.lit("")).alias("title"), "abstract", F.coalesce("authors", none).alias("authors"), "page_text")
     if crossref is not None and not offline:
         looked = crossref.select("doi", *[F.col(c).alias(f"c_{c}") for c in ("title", "authors", "abstract", "keywords", "journal", "year")], F.lit(True).alias("c_hit"))
         own = own.join(looked, "doi", "left")
@@ -99,8 +113,8 @@ def metadata(
         own = own.select("*", *[F.lit(None).cast(t).alias(f"c_{c}") for c, t in (("title", "string"), ("authors", "array<string>"), ("abstract", "string"), ("keywords", "array<string>"), ("journal", "string"), ("year", "int"), ("hit", "boolean"))])
     weak = F.length("title") < C.SHORT_TITLE
     if llm is not None:
-        wanting = own.where(F.col("c_hit").isNull() & (weak | F.col("abstract").isNull() | (F.size("authors") == 0))).select("doc_id")
-        page = text_blocks(blocks, 1).join(wanting, "doc_id").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("page_text"))
+        wanting = F.col("c_hit").isNull() & (weak | F.col("abstract").isNull() | (F.size("authors") == 0)) & F.col("page_text").isNotNull()
+        page = own.where(wanting).select("doc_id", "page_text")
         answers = llm(page).select("doc_id", F.nullif(F.col("title"), F.lit("")).alias("l_title"), F.nullif(F.col("abstract"), F.lit("")).alias("l_abstract"), F.filter(F.transform("authors", lambda a: normalize_author(a)), lambda a: is_person(a)).alias("l_authors"))
         own = own.join(answers, "doc_id", "left")
     else:

@@ -35,6 +35,11 @@ def need_ocr(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(blocks.where("kind = 'text' and text <> ''").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def pages_needing_ocr(pages: DataFrame) -> DataFrame:
+    """Of pages (doc_id, page_no, page_text) those without any text, as scans are."""
+    return pages.where(strip(F.coalesce("page_text", F.lit(""))) == "").select("doc_id", "page_no")
+
+
 def add_ocr(blocks: DataFrame, ocr_blocks: DataFrame) -> DataFrame:
     """Blocks of the extractor, then those of OCR, positions counted on."""
     last = blocks.groupBy("doc_id").agg(F.max("pos").alias("_last"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import constants as C
-from papyrine.functions.text import caption_id, caption_kind, clean_latex, latex_id, let, strip
+from papyrine.functions.text import caption_id, caption_kind, clean_latex, latex_id, let, repair_table, strip
 
 
 def detections(found: DataFrame) -> DataFrame:
@@ -107,3 +107,12 @@ def equations(crops: DataFrame, ocr_available: bool = True) -> DataFrame:
     told = crops.withColumn("latex", F.coalesce(clean_latex("raw_latex"), F.lit("")))
     kept = told.where("latex <> ''") if ocr_available else told
     return kept.withColumn("id", latex_id("latex"))
+
+
+def read_tables(items: DataFrame, replies: DataFrame | None) -> DataFrame:
+    """Items with `data`, the cells of tables that a vision model's replies (doc_id, file, reply) hold; else none."""
+    none = F.array().cast("array<array<string>>")
+    if replies is None:
+        return items.withColumn("data", none)
+    cells = replies.select("doc_id", "file", repair_table("reply").alias("data"))
+    return items.join(cells, ["doc_id", "file"], "left").withColumn("data", F.coalesce("data", none))

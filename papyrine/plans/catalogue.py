@@ -11,6 +11,8 @@ from papyrine.functions import constants as C
 from papyrine.functions import text as T
 from papyrine.operators import evaluate, layout, metadata, ocr, sections, status, visuals
 from papyrine.sources import projections as P
+from papyrine.sources import sinks
+from papyrine.sources.gold import DOCUMENT
 from papyrine.sources.html import html_blocks
 
 AS_OF_YEAR = 2024
@@ -169,6 +171,13 @@ def q_ocr_gate(spark, sf_dir):
     return ocr.need_ocr(kept, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
 
 
+@query("SELECT doc_id, n::BIGINT AS page_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL) WHERE n % 3 = 0 OR trim(t) = ''")
+def q_page_ocr_gate(spark, sf_dir):
+    """Pages without text, a line being a page and every third one a scan."""
+    pages = P.lines(spark, sf_dir).select("doc_id", F.col("n").cast("long").alias("page_no"), F.when(F.col("n") % 3 != 0, F.col("txt")).alias("page_text"))
+    return ocr.pages_needing_ocr(pages)
+
+
 # Sections
 
 BASE = P.BLOCKS + """, counted AS (SELECT doc_id, font, count(*) AS c, min(pos) AS first FROM blocks GROUP BY ALL),
@@ -745,19 +754,47 @@ def q_text_ratio(spark, sf_dir):
 
 @query("WITH " + TREE + " SELECT doc_id, count(*) AS n_sections, sum(level)::BIGINT AS levels, count_if(parent_rn IS NULL)::BIGINT AS roots FROM sections GROUP BY doc_id")
 def q_document_json(spark, sf_dir):
-    """The flat sections written as JSON documents and parsed back."""
-    table = sections.section_table(P.blocks(spark, sf_dir))
-    packed = table.groupBy("doc_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("rn", "parent_rn", "level", "heading", "content"))).alias("sections")), {"ignoreNullFields": "false"}).alias("json"))
-    back = packed.select("doc_id", F.from_json("json", "sections array<struct<rn:int,parent_rn:int,level:int,heading:string,content:string>>").alias("d")).select("doc_id", F.inline("d.sections"))
-    return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("level").cast("long").alias("levels"), F.count_if(F.col("parent_rn").isNull()).alias("roots"))
+    """Documents in their written form, as JSON and parsed back: the tree's nodes, levels and roots."""
+    back = F.from_json("json", f"stem string, {DOCUMENT}").alias("d")
+    read = sinks.document_json(sinks.document_struct(written(spark, sf_dir)), pretty=False, stem=True).select("doc_id", back).where("d.stem = string(doc_id)")
+    levels = F.regexp_extract_all("d.sections", F.lit(r'"level":\s*([0-9]+)'), F.lit(1)).cast("array<long>")
+    return read.select(
+        "doc_id", F.size(levels).cast("long").alias("n_sections"), F.aggregate(levels, F.lit(0).cast("long"), lambda a, x: a + x).alias("levels"), F.size(F.from_json("d.sections", "array<struct<heading:string>>")).cast("long").alias("roots"),
+    )
+
+
+@query("WITH " + P.SCORES + ", t AS (SELECT * FROM gold) SELECT stem AS doc_id, title, doi, year, journal, len(authors)::BIGINT AS n_authors, len(keywords)::BIGINT AS n_keywords, figures, '\"sections\": \"@sections@\"' AS raw_text FROM t")
+def q_document_fields(spark, sf_dir):
+    """The fields of written documents as read back, among them texts that look like the mark of the tree."""
+    figure = "named_struct('n', int(i), 'id', concat('Figure ', i), 'caption', '', 'page_no', int(1), 'left', 0.0D, 'top', 0.0D, 'right', 1.0D, 'bottom', 1.0D, 'file', 'f.png', 'data', cast(null as array<array<string>>))"
+    docs = P.gold(spark, sf_dir).drop("tables").withColumnRenamed("stem", "doc_id").withColumn("raw_text", F.lit('"sections": "@sections@"')).withColumn("sections", F.lit('[{"heading": "\\"@sections@\\""}]'))
+    docs = docs.withColumn("figures", F.expr(f"transform(if(figures > 0, sequence(bigint(1), figures), cast(array() as array<bigint>)), i -> {figure})"))
+    d = sinks.document_json(sinks.document_struct(docs), pretty=False).select("doc_id", F.from_json("json", DOCUMENT).alias("d"))
+    return d.where(F.get(F.from_json("d.sections", "array<struct<heading:string>>"), F.lit(0))["heading"] == '"@sections@"').select(
+        "doc_id", "d.metadata.title", "d.metadata.doi", F.col("d.metadata.year").cast("long").alias("year"), "d.metadata.journal", F.size("d.metadata.authors").cast("long").alias("n_authors"), F.size("d.metadata.keywords").cast("long").alias("n_keywords"),
+        F.size("d.figures").cast("long").alias("figures"), "d.raw_text",
+    )
+
+
+def written(spark, sf_dir):
+    """(doc_id, sections) with the tree as JSON."""
+    return sections.nested_json(sections.section_table(P.blocks(spark, sf_dir)))
 
 
 @query("WITH " + TREE + " SELECT doc_id, count_if(parent_rn IS NULL)::BIGINT AS roots, sum(length(content))::BIGINT AS chars FROM sections GROUP BY doc_id")
 def q_nested_json(spark, sf_dir):
-    """Sections nested into a tree as JSON; roots and the length of all contents as parsed back by path."""
-    table = sections.section_table(P.blocks(spark, sf_dir))
-    nested = sections.nested_json(table).select("doc_id", F.size(F.from_json("sections", "array<struct<heading:string>>")).cast("long").alias("roots"))
-    return nested.join(table.groupBy("doc_id").agg(F.sum(F.length("content")).cast("long").alias("chars")), "doc_id")
+    """Sections nested into a tree as JSON; roots and the length of all contents, both from the JSON alone."""
+    node = "struct<content:string,subsections:array<{}>>"
+    kind = "struct<content:string>"
+    for _ in range(8):
+        kind = node.format(kind)
+    tree = F.from_json("sections", f"array<{kind}>")
+
+    def chars(nodes, depth):
+        own = F.aggregate(nodes, F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"]))
+        return own if not depth else own + F.coalesce(chars(F.flatten(F.transform(nodes, lambda x: F.coalesce(x["subsections"], F.array()))), depth - 1), F.lit(0).cast("long"))
+
+    return written(spark, sf_dir).select("doc_id", F.size(tree).cast("long").alias("roots"), chars(tree, 8).alias("chars"))
 
 
 @query("WITH " + P.SCORES + " SELECT stem, title, year, len(authors)::BIGINT AS n_authors FROM gold")

@@ -7,23 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from papyrine.plans.engine import Engine
-from papyrine.sources import raw, sinks
+from papyrine.sources import sinks
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def ingest(engine: Engine, path: str, output: str, checkpoint: str, pattern: str = "*.pdf", once: bool = False) -> StreamingQuery:
+def ingest(engine: Engine, path: str, output: str, checkpoint: str, pattern: str = "*.{pdf,PDF}", once: bool = False, status_path: str | None = None) -> StreamingQuery:
     """Start the stream. Documents do not depend on each other, so no state is kept; a batch that is run again rewrites
-    the same documents."""
+    the same documents: its number names their folder. What a batch run would write, it writes."""
     files = engine.spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern).load(path)
     named = files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), "content")
 
     def batch(rows: DataFrame, number: int) -> None:
-        decoded = raw.decode_files(rows, engine.decoder).persist()
-        texts = decoded.select(F.col("name").alias("doc_id"), F.coalesce("full_text", F.lit("")).alias("full_text"), "error")
-        documents = engine.documents(raw.blocks_of(decoded), texts)
-        sinks.write_documents(documents.where("raw_text is not null").drop("n_sections"), output)
-        decoded.unpersist()
+        told = engine.write(rows, output, number)
+        if status_path:
+            sinks.write_status(told, status_path, number)
+        engine.clear()
 
     writer = named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

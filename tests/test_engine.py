@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+from papyrine.operators import ocr, status
 from papyrine.plans.engine import Engine
 from papyrine.sources import gold, raw, sinks
 from papyrine.streaming.ingest import ingest
@@ -30,8 +33,81 @@ def test_batch_skips_and_isolates(spark, tmp_path):
     assert set(got) == {"a", "b", "c"}
     again = {r.doc_id: r.status for r in engine.run(str(source), out).collect()}
     assert again["a"] == "skipped" and again["b"] == "error"
-    doc = json.loads(spark.read.text(out).where("stem = 'a'").head().value)
-    assert doc["doi"] == "10.1000/abc" and doc["year"] == 2020 and doc["sections"][0]["heading"].startswith("A long")
+    doc = next(d for d in map(json.loads, (r.value for r in spark.read.text(out).collect())) if d["stem"] == "a")
+    assert doc["metadata"]["doi"] == "10.1000/abc" and doc["metadata"]["year"] == 2020 and doc["sections"][0]["heading"].startswith("A long")
+    assert doc["figures"] == doc["tables"] == doc["equations"] == [] and doc["metadata"]["title_en"] is None
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["in", "out", "out-status"]
+
+
+def test_run_read_report(spark, tmp_path):
+    """What a batch writes is what evaluation reads; statuses, seconds and summary come with it."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    files(source)
+    (source / "E.PDF").write_text("partial text")
+    told = Engine(spark, 2024, decoder=decoder).run(str(source), out, status_path=str(tmp_path / "log"))
+    assert [r.doc_id for r in told.collect()] == ["E", "a", "b", "c"] and all(r.seconds > 0 for r in told.collect())
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    total = status.summarize(told).head()
+    assert (total.total, total.success, total.errors) == (4, 2, 2) and total.avg_seconds > 0
+    docs = gold.read_documents(spark, out)
+    got = {r.stem: r for r in docs.collect()}
+    assert set(got) == {"E", "a"} and got["a"].metadata.authors == ["Lee, Ann"] and got["a"].metadata.abstract == "short of it"
+    assert json.loads(got["a"].sections)[0]["heading"].startswith("A long") and "body text of a" in got["a"].raw_text
+    predicted = docs.select("stem", "metadata.*", F.size("figures").alias("figures"))
+    wanted = spark.createDataFrame([("a", "A long enough title for this very paper", "10.1000/ABC", 2020)], "stem string, title string, doi string, year int")
+    both = predicted.select("stem", F.col("title").alias("p_title"), "doi", "year").join(wanted.select("stem", F.col("title").alias("g_title")), "stem").head()
+    assert both.p_title == both.g_title
+    # Written again, a document's last version counts.
+    Engine(spark, 2010, decoder=decoder).run(str(source), out, overwrite=True)
+    again = {r.stem: r.metadata.year for r in gold.read_documents(spark, out).collect()}
+    assert again == {"a": None, "E": None} and spark.read.text(out).count() == 4
+
+
+def test_partly_decoded_and_image_only_files_are_written(spark, tmp_path):
+    def half(content: bytes):
+        def blocks():
+            first, *rest = decoder(b"x")[0]
+            yield first
+            yield from rest
+            if content == b"half":
+                raise ValueError("page 2 is broken")
+
+        image = {"page_no": 1, "seq": 0, "page_w": 600.0, "page_h": 800.0, "type": 1, "x0": 1.0, "y0": 1.0, "x1": 9.0, "y1": 9.0, "lines": None}
+        return ([image] if content == b"image" else blocks()), "doi.org/10.1000/abc published 2020"
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for name in ("half", "image", "whole"):
+        (source / f"{name}.pdf").write_text(name)
+    got = {r.doc_id: (r.status, r.error) for r in Engine(spark, 2024, decoder=half).run(str(source), out).collect()}
+    assert got == {"half": ("success", None), "image": ("partial", None), "whole": ("success", None)}
+    docs = {r.stem: r for r in gold.read_documents(spark, out).collect()}
+    assert set(docs) == set(got) and docs["image"].raw_text == "" and docs["half"].metadata.authors == ["Lee, Ann"]
+
+
+def test_visuals_and_tables_reach_the_document(spark, tmp_path):
+    box = ("100.0D left", "250.0D top", "200.0D right", "300.0D bottom")
+    detect = lambda docs: docs.selectExpr("doc_id", "1 page_no", "explode(array(0, 1)) det_seq", *box).withColumn("class", F.when(F.col("det_seq") == 0, "table").otherwise("figure"))
+    read = lambda tables: tables.select("doc_id", "file", F.lit('```json{"data": [["a", "b"], ["c", "d"]]}```').alias("reply"))
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "a.pdf").write_text("text of it")
+    Engine(spark, 2024, decoder=decoder, layout_detector=detect, vlm=read).run(str(source), out)
+    doc = gold.read_documents(spark, out).head()
+    assert doc.tables[0].data == [["a", "b"], ["c", "d"]] and doc.tables[0].bbox.left == 100.0 and doc.tables[0].img_path == "tab_1_p1.png"
+    assert doc.figures[0].id == "Figure 1" and doc.figures[0].page == 1 and doc.figures[0].panels[0].img_path == doc.figures[0].img_path
+
+
+def test_empty_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.txt").write_text("no pdf")
+    assert Engine(spark, 2024, decoder=decoder).run(str(tmp_path / "in"), str(tmp_path / "out")).count() == 0
+
+
+def test_page_gate(spark):
+    pages = spark.createDataFrame([(1, 1, "text"), (1, 2, "  \n"), (1, 3, None)], "doc_id int, page_no int, page_text string")
+    assert sorted(r.page_no for r in ocr.pages_needing_ocr(pages).collect()) == [2, 3]
 
 
 def test_stream(spark, tmp_path):
@@ -40,7 +116,7 @@ def test_stream(spark, tmp_path):
     files(source)
     query = ingest(Engine(spark, 2024, decoder=decoder), str(source), out, str(tmp_path / "mark"), once=True)
     query.awaitTermination(120)
-    assert [r.stem for r in spark.read.text(out).select("stem").collect()] == ["a"]
+    assert [r.stem for r in gold.read_documents(spark, out).collect()] == ["a"]
 
 
 def test_gold_and_json(spark, tmp_path):
