@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -205,11 +206,25 @@ def is_person(name: Text) -> Column:
     return ~is_junk(name) & F.size(tokens).between(1, 5) & F.forall(cores, lambda c: passed(c) | upper(c)) & F.exists(cores, lambda c: ~passed(c) & upper(c))
 
 
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "#x27": "'", "nbsp": " ", "middot": "·", "copy": "©", "ndash": "–", "mdash": "—", "amp": "&"}
+
+
+@F.pandas_udf(T.StringType())
+def _unescape(values: pd.Series) -> pd.Series:
+    return values.map(html.unescape, na_action="ignore")
+
+
 def clean_markup(x: Text) -> Column:
-    """Tags dropped, entities decoded, white space squeezed; what is left empty becomes null, '' stays ''."""
-    y = F.regexp_replace(col(x), "<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")):
-        y = F.replace(y, F.lit(entity), F.lit(char))
+    """Tags dropped, entities decoded, white space squeezed; what is left empty becomes null, '' stays ''.
+
+    Texts that hold none but common entities are decoded by replacement, only others go to a library of all of them.
+    """
+    bare = F.regexp_replace(col(x), "<[^>]+>", "")
+    y = bare
+    for entity, char in ENTITIES.items():
+        y = F.replace(y, F.lit(f"&{entity};"), F.lit(char))
+    other = bare.rlike(rf"&(?!(?:{'|'.join(ENTITIES)});)(?:#|[A-Za-z])")
+    y = F.coalesce(_unescape(F.when(other, bare)), y)
     y = strip(F.regexp_replace(y, r"(?U)\s+", " "))
     return F.when(col(x) == "", F.lit("")).otherwise(F.nullif(y, F.lit("")))
 

@@ -55,6 +55,8 @@ def test_person(spark):
 def test_markup(spark):
     got = values(spark, ["ir(<scp>iii</scp>) dye", "Growth &amp; Design", None, "", "<p> </p>", "&amp;lt;"], T.clean_markup)
     assert got == ["ir(iii) dye", "Growth & Design", None, "", None, "&lt;"]
+    got = values(spark, ["a &eacute; b &#233; c &#xE9; d &alpha;&le;&beta; &amp;eacute;", "AT&T &notanentity; &", "x &hellip; &amp; y"], T.clean_markup)
+    assert got == ["a é b é c é d α≤β &eacute;", "AT&T \u00acanentity; &", "x … & y"]
 
 
 def test_latex(spark):
