@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import let, literal_of, materialize, sample_docs
+from papyrine.llm.common import discard, let, literal_of, materialize, sample_docs
 
 ID_BITS = 17
 ID_MASK = (1 << ID_BITS) - 1
@@ -228,8 +228,9 @@ def word_cache(docs: DataFrame, vocabulary: Vocabulary, pattern: str, sample_row
 
     counted = sample_docs(docs.select("doc_id", "text"), sample_rows, limit=False).select("text").mapInArrow(count, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
     common = counted.where(F.octet_length("k") <= 64).orderBy(F.desc("n"), "k").limit(words).select("k")
-    spread = materialize(common, "words").repartition(48, "k")
-    encoded = spread.select("k", let(vocabulary.bytes_of(F.col("k")), vocabulary.merged).alias("ids")).toArrow()
+    stored = materialize(common, "words")
+    encoded = stored.repartition(48, "k").select("k", let(vocabulary.bytes_of(F.col("k")), vocabulary.merged).alias("ids")).toArrow()
+    discard(stored)
     ids = encoded["ids"].combine_chunks()
     raw, ends = ids.flatten().to_numpy().astype("<i4").tobytes(), np.cumsum(ids.value_lengths().to_numpy()).tolist()
     return {k: raw[4 * a : 4 * b] for k, a, b in zip(encoded["k"].to_pylist(), [0, *ends], ends)}

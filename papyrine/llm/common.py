@@ -14,12 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where it is unset, as in tests, one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; only where it is unset in local mode one of our own."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="papyrine-shared-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -34,7 +36,17 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def sample_docs(docs: DataFrame, rows: int, id_col: str = "doc_id", limit: bool = True) -> DataFrame:
@@ -64,26 +76,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); component is the smallest node reachable.
 
     Minimum labels travel over the edges and labels jump to their label's label, so rounds grow with the logarithm
-    of the diameter. Every round is written to the shared folder; nothing is collected but the count of changes.
+    of the diameter. Every round is written to the shared folder; nothing is collected but whether a label changed.
     Self-loops give their node a row; null ends are ignored.
     """
     sym = materialize(
         edges.where("a is not null and b is not null").select("a", "b").union(edges.where("a is not null and b is not null").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         "edges",
     )
-    labels = materialize(sym.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    labels = kept = materialize(sym.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
+    while True:
         heard = sym.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
         lower = materialize(labels.join(heard, "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("heard", "component")).alias("component")), "labels")
         up = lower.select(F.col("node").alias("component"), F.col("component").alias("above"))
         jumped = materialize(lower.join(up, "component", "left").select("node", "before", F.least("component", F.coalesce("above", "component")).alias("component")), "labels")
-        labels = jumped.select("node", "component")
-        if jumped.where("component <> before").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return labels
+        settled = jumped.where("component <> before").isEmpty()
+        discard(kept, lower)
+        kept, labels = jumped, jumped.select("node", "component")
+        if settled:
+            discard(sym)
+            return labels

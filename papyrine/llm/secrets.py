@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import materialize, sample_docs
+from papyrine.llm.common import discard, materialize, sample_docs
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -223,6 +223,7 @@ def train(docs: DataFrame, sample_rows: int = 2000, findings: int = 3000, recall
 
     found = materialize(sample_docs(docs.select("doc_id", "text"), sample_rows).select("text").mapInArrow(gather, "w string, y int, kind int"), "findings")
     negative, positive, prose = ([(r.w, r.kind) for r in found.where(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(findings).collect()] for y in range(3))
+    discard(found)
     texts = [w.replace("\0", "") for w, _ in prose]
     positive, negative = positive + made_findings(findings, texts), negative + harmless(findings, texts)
     x, y = encode([w for w, _ in positive + negative]), np.array([1.0] * len(positive) + [0.0] * len(negative))

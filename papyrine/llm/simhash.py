@@ -1,7 +1,7 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked at a small Hamming distance through a forest of BK-trees.
 
-Two fingerprints at distance 3 or less agree in at least one of four 16-bit blocks. Each block value is a shard with a
-BK-tree of its own, and a fingerprint only searches the four trees it belongs to, so no link is lost and no tree has to
+Two fingerprints within a radius agree in at least one of radius + 1 blocks of their bits. Each block value is a shard
+with a BK-tree of its own, and a fingerprint only searches the trees it belongs to, so no link is lost and no tree has to
 travel: the trees grow with the corpus and are not broadcast, the queries are dealt to them instead.
 """
 
@@ -17,10 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import connected_components, materialize
+from papyrine.llm.common import connected_components, discard, materialize, sample_docs
 
-BLOCKS = 4
+ROWS = 1 << 20  # of shards that a task builds and searches together; a larger shard is taken alone
 FRONT = 2_000_000  # (query, node) pairs looked at together
+SLOTS = 1 << 26  # bits of the map of rows
+SPREAD, FEW = 22, 16  # bits by which fingerprints of near copies may differ; sets below FEW shingles are not told by them
+HOT = 32  # rows of a group from which cells are compared, not pairs
+CELL = 256, 1024  # rows of a cell
+COLUMNS = 4096  # shingles that a product takes together
 _digest = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -116,26 +121,45 @@ def contract(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
+def shards(radius: int):
+    """An array of the shards of a fingerprint `fp`: one for each of radius + 1 blocks of even width."""
+    if not 0 <= radius < 64:
+        raise ValueError(f"radius must be from 0 to 63, not {radius}")
+    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    whole = lambda a, b: F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long")
+    values = [F.shiftrightunsigned("fp", a).bitwiseAND(whole(a, b)) for a, b in zip(edges, edges[1:])]
+    return F.array(*[F.struct(F.lit(i).alias("block"), v.alias("value")) for i, v in enumerate(values)])
+
+
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints that span every set linked within a shard: a member and its smallest."""
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("value")) for i in range(BLOCKS)])
-    dealt = distinct.select("fp", F.explode(blocks).alias("k")).select("fp", (F.col("k.block") * 65536 + F.col("k.value")).alias("shard")).repartition("shard")
+    dealt = distinct.select("fp", F.explode(shards(radius)).alias("k")).select("k.block", "k.value", "fp")
+    dealt = dealt.repartition("block", "value").sortWithinPartitions("block", "value", "fp")
 
-    def run(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        values, shards = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        order = np.lexsort((values, shards))
-        shards, values = shards[order], values[order].view(np.uint64)
+    def linked(block: np.ndarray, value: np.ndarray, values: np.ndarray):
+        new = np.ones(len(values), dtype=np.int64)
+        new[1:] = (block[1:] != block[:-1]) | (value[1:] != value[:-1])
         labels = np.arange(len(values))
-        for query, node in Forest(shards, values).pairs(radius):
+        for query, node in Forest(np.cumsum(new), values.view(np.uint64)).pairs(radius):
             labels = contract(labels, query, node)
         moved = np.flatnonzero(labels != np.arange(len(labels)))
-        signed = values.view(np.int64)
         for at in range(0, len(moved), 100_000):
             some = moved[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(signed[some]), pa.array(signed[labels[some]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[some]), pa.array(values[labels[some]])], names=["a", "b"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            if sum(len(h[0]) for h in held) < ROWS:
+                continue
+            block, value, fp = (np.concatenate([h[i] for h in held]) for i in range(3))
+            cut = int(np.argmax((block == block[-1]) & (value == value[-1])))  # the last shard may go on
+            held = [(block[cut:], value[cut:], fp[cut:])]
+            if cut:
+                yield from linked(block[:cut], value[:cut], fp[:cut])
+        if held:
+            yield from linked(*(np.concatenate([h[i] for h in held]) for i in range(3)))
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -155,10 +179,11 @@ def components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
 
 def classes(distinct: DataFrame, radius: int) -> DataFrame:
     """(fp, component_id) for distinct (fp, first): the smallest `first` of the fingerprints reachable."""
-    labels = connected_components(materialize(links(distinct, radius), "links"))
-    linked = materialize(distinct.join(labels.withColumnRenamed("node", "fp"), "fp"), "linked")
+    found = materialize(links(distinct, radius), "links")
+    linked = materialize(distinct.join(connected_components(found).withColumnRenamed("node", "fp"), "fp"), "linked")
     least = materialize(linked.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     named = materialize(linked.join(least, "component").select("fp", "component_id"), "named")
+    discard(found, linked, least)
     return distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
 
 
@@ -194,52 +219,235 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([_digest(r) for r in runs], dtype=np.uint64))
 
 
+def alike(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Positions (i, j) of all sets x[i], y[j] of that Jaccard similarity, by products over the shingles both sides hold."""
+    flat = [np.concatenate(v) for v in (x, y)]
+    owner = [np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (x, y)]
+    shared = np.intersect1d(*flat)
+    both = np.zeros((len(x), len(y)), dtype=np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        some, sides = shared[at : at + COLUMNS], []
+        for values, who, n in zip(flat, owner, (len(x), len(y))):
+            column = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            held = some[column] == values
+            side = np.zeros((n, len(some)), dtype=np.float32)
+            side[who[held], column[held]] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    sizes = [np.array([len(s) for s in v], dtype=np.float64) for v in (x, y)]
+    return np.argwhere(both >= similarity * (sizes[0][:, None] + sizes[1] - both) - 1e-9)
+
+
+class Copies:
+    """Near-duplicate links between documents stored as (_row, _text) with one row for each distinct set of shingles.
+
+    Two sets of the wanted similarity share one of the first n - ceil(similarity * n) + 1 shingles of either in any one
+    order of all shingles; here those that are frequent in a bounded sample come last, then by their hashes. Rows that
+    share such a shingle form its group. First each row is compared with one row of the group (another for each of eight
+    classes of groups); that joins most of what belongs together. Then, in groups that hold several components, rows
+    outside the largest are compared with all others: one by one, or in cells of bounded size where the largest is large.
+    So no link between components is lost, and rows already linked are not paired again. A pair is compared exactly,
+    unless its sizes or over SPREAD bits of its SimHash fingerprints rule it out (at similarity 0.8 some 10 of 64 bits
+    differ, with a deviation of 3).
+    """
+
+    def __init__(self, stored: DataFrame, distinct: DataFrame, similarity: float, shingle: int):
+        self.stored, self.distinct, self.similarity, self.shingle = stored, distinct, similarity, shingle
+
+    def texts(self, rows: DataFrame, task, schema: str) -> DataFrame:
+        """task(rows, texts) over the batches of the stored documents in `rows`, and of few others.
+
+        Rows are told by a bit of a map of fixed size; it changes the cost, not the result.
+        """
+        slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS))
+        bits = np.zeros(SLOTS >> 6, dtype=np.uint64)
+        words = rows.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
+        bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+        sent = self.stored.sparkSession.sparkContext.broadcast(bits)
+
+        def run(batches):
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                held = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                if held.any():
+                    yield from task(batch.filter(pa.array(held)))
+
+        return self.stored.select(F.col("_row").alias("row"), "_text").select("row", "_text", slot.alias("s")).mapInArrow(run, schema)
+
+    def sets(self, rows: DataFrame) -> DataFrame:
+        shingle = self.shingle
+
+        def run(batch):
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["row", "set"])
+
+        return materialize(self.texts(rows, run, "row long, set binary"), "sets")
+
+    def frequent(self, sample_rows: int = 5000, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles that two or more of about `sample_rows` documents hold, the `most` frequent, and their counts."""
+        shingle = self.shingle
+
+        def run(batches):
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view(np.int64))], names=["token"])
+
+        found = sample_docs(self.stored, sample_rows, "_row").select("_text").mapInArrow(run, "token long").groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(most).toArrow()
+        tokens, counts = found["token"].to_numpy().view(np.uint64), found["count"].to_numpy()
+        order = np.argsort(tokens)
+        return tokens[order], counts[order]
+
+    def groups(self) -> DataFrame:
+        """(token, row, n, fp) of the prefix shingles that two rows or more share."""
+        similarity, shingle, (frequent, counts) = self.similarity, self.shingle, self.frequent()
+
+        def prefixes(batch):
+            rows, tokens, sizes = batch.column(0).to_numpy(), [], []
+            for text in batch.column(1).to_pylist():
+                s = shingle_set(text, shingle)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                    s = s[np.argsort(np.where(frequent[at] == s, counts[at], 0), kind="stable")]
+                tokens.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0])
+                sizes.append(len(tokens[-1]))
+            flat, owner = np.concatenate(tokens).view(np.int64), np.repeat(rows, sizes)
+            for at in range(0, len(flat), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 100_000]), pa.array(owner[at : at + 100_000])], names=["token", "row"])
+
+        def shared(batches):
+            last = np.empty(0, np.int64), np.empty(0, np.int64)
+            open_group = False  # rows of the held token have been given out
+            for batch in (b for b in batches if b.num_rows):
+                token, row = (np.concatenate([h, c.to_numpy()]) for h, c in zip(last, batch.columns))
+                same = np.zeros(len(token) + 1, dtype=bool)
+                same[1:-1] = token[1:] == token[:-1]
+                same[0] = open_group
+                keep = same[:-1] | same[1:]
+                open_group, last = bool(same[-2]) and bool(keep[-1]), (token[-1:], row[-1:])
+                keep[-1] = False  # the last row waits for its successor
+                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(row[keep])], names=["token", "row"])
+            if open_group:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["token", "row"])
+
+        dealt = self.texts(self.distinct.select("row"), prefixes, "token long, row long").repartition("token").sortWithinPartitions("token")
+        found = materialize(dealt.mapInArrow(shared, "token long, row long"), "groups")
+        told = materialize(found.join(self.distinct.select("row", "n", "fp"), "row").select("token", "row", "n", "fp"), "groups")
+        discard(found)
+        return told
+
+    def may(self, a: str, b: str):
+        """A pair that sizes and fingerprints do not rule out."""
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        apart = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp")))
+        return (F.least(n, m) >= self.similarity * F.greatest(n, m) - 1e-9) & ((apart <= SPREAD) | (F.least(n, m) < FEW))
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Links (a, b) among candidate pairs, by their sets."""
+        similarity = self.similarity
+
+        def compare(batches):
+            for batch in batches:
+                hit = []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                    hit.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+        sets = self.sets(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))))
+        x, y = (sets.select(F.col("row").alias(r), F.col("set").alias(f"set_{r}")) for r in ("a", "b"))
+        found = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links")
+        discard(sets)
+        return found
+
+    def in_cells(self, units: DataFrame) -> DataFrame:
+        """Links between rows of a unit (dom) of which one is outside its largest component, by cells of bounded size."""
+        similarity = self.similarity
+        parts = units.groupBy("dom").agg(F.ceil(F.sum(F.col("out").cast("long")) / CELL[0]).cast("int").alias("down"), F.ceil(F.count(F.lit(1)) / CELL[1]).cast("int").alias("across"))
+        sets = self.sets(units.select("row"))
+        held = units.join(parts, "dom").join(sets, "row")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+        left = held.where("out").select("dom", mine("down").alias("i"), every("across").alias("j"), "row", "set", F.lit(True).alias("left"))
+        right = held.select("dom", every("down").alias("i"), mine("across").alias("j"), "row", "set", F.lit(False).alias("left"))
+
+        def compare(cell: pa.Table) -> pa.Table:
+            rows, sets, is_left = cell["row"].to_numpy(), [np.frombuffer(s, np.uint64) for s in cell["set"].to_pylist()], cell["left"].to_numpy()
+            x, y = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+            hit = alike([sets[i] for i in x], [sets[i] for i in y], similarity) if len(x) and len(y) else np.empty((0, 2), np.int64)
+            a, b = rows[x[hit[:, 0]]], rows[y[hit[:, 1]]]
+            return pa.table([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+        found = materialize(left.union(right).groupBy("dom", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
+        discard(sets)
+        return found
+
+    def links(self) -> DataFrame:
+        """Links (a, b) that give the components of all pairs of the similarity."""
+        rows = self.groups()
+        leader = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.col("token").bitwiseAND(F.lit(7).cast("long"))).alias("h"), "row", "n", "fp")).alias("l")).select("token", "l.row", "l.n", "l.fp")
+        ends = [F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")]
+        star = rows.alias("a").join(leader.alias("b"), F.expr("a.token = b.token and a.row <> b.row") & self.may("a", "b")).select(*ends).distinct()
+        star = materialize(star, "pairs")
+        near = self.compared(star)
+        named = connected_components(near).withColumnRenamed("node", "row")
+        told = materialize(rows.join(named, "row", "left").select("token", "row", "n", "fp", F.coalesce("component", "row").alias("component")), "told")
+        counts = told.groupBy("token", "component").count().groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("held"), F.max(F.struct("count", "component")).alias("top"))
+        mixed = counts.where("parts > 1").select("token", F.col("top.component").alias("dom"), "held")
+        open_ = materialize(told.join(mixed, "token").withColumn("out", F.col("component") != F.col("dom")), "open")
+        discard(rows, star, told)
+        few = open_.where(F.col("held") < HOT)
+        cold = materialize(few.where("out").alias("a").join(few.alias("b"), F.expr("a.token = b.token and a.component <> b.component") & self.may("a", "b")).select(*ends).distinct(), "pairs")
+        hot = materialize(open_.where(F.col("held") >= HOT).groupBy("dom", "row").agg(F.max("out").alias("out")), "units")
+        discard(open_)
+        parts = near, self.compared(cold), self.in_cells(hot)
+        every = materialize(parts[0].union(parts[1]).union(parts[2]), "links")
+        discard(cold, hot, *parts)
+        return every
+
+
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The documents with one of each group linked by a Jaccard similarity of word shingles: the smallest doc_id.
 
-    Two sets of that similarity share one of the first n - ceil(similarity * n) + 1 shingles of either in the order of
-    their hashes, so no pair is lost; every pair that shares one is compared exactly. Equal sets count once. Rows that
-    share a doc_id or lack one are treated as by drop_near_duplicates.
+    Sets of distinct shingles of lower-cased words count; a text of fewer words is one shingle, a null or blank one has
+    none and is like any other such. Of rows that repeat a doc_id one stays, of a group without any doc_id one row
+    stays. Own columns are kept, whatever they are called. An empty table gives an empty result. See Copies for the
+    method.
     """
     own = docs.columns
     hidden = [f"_c{i}" for i in range(len(own))]
     renamed = docs.select(*[F.col(c).alias(h) for c, h in zip(own, hidden)], F.monotonically_increasing_id().alias("_row"))
-    text = own.index("text")
+    text, names = own.index("text"), [*hidden, "_row", "n", "fp", "same"]
 
     def mark(batches):
         for batch in batches:
-            sets = [shingle_set(t, shingle).tobytes() for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary())], names=[*hidden, "_row", "set", "same"])
-
-    def prefixes(batches):
-        for batch in batches:
-            sets = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
-            first = [s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1] for s in sets]
-            lengths = [len(f) for f in first]
-            columns = np.concatenate(first), np.repeat(batch.column(0).to_numpy(), lengths), np.repeat([len(s) for s in sets], lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "row", "n"])
-
-    def compare(batches):
-        for batch in batches:
-            hit = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                hit.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    stored = materialize(renamed.mapInArrow(mark, T.StructType([*renamed.schema.fields, T.StructField("set", T.BinaryType()), T.StructField("same", T.BinaryType())])), "numbered")
-    marked = stored.select(F.col(hidden[own.index("doc_id")]).alias("doc_id"), "_row", "same")
-    best = marked.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("first"))
-    distinct = materialize(best.select(F.col("first.row").alias("row"), "first").join(stored.select(F.col("_row").alias("row"), "set"), "row"), "distinct")
-    dealt = materialize(distinct.select("row", "set").mapInArrow(prefixes, "token long, row long, n long"), "prefixes")
-    a, b = (dealt.select("token", F.col("row").alias(r), F.col("n").alias(f"n_{r}")) for r in ("a", "b"))
-    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
-    pairs = materialize(a.join(b, "token").where(near).select("a", "b").distinct(), "pairs")
-    x, y = (distinct.select(F.col("row").alias(r), F.col("set").alias(f"set_{r}")) for r in ("a", "b"))
-    links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links")
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                sets, prints = zip(*(marks(t, shingle) for t in some.column(text).to_pylist()))
+                extra = [pa.array([len(s) for s in sets], pa.int32()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*some.columns, *extra], names=names)
+
+    kinds = [T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("same", T.BinaryType())]
+    stored = materialize(renamed.mapInArrow(mark, T.StructType([*renamed.schema.fields, *kinds])), "numbered")
+    marked = stored.select(F.col(hidden[own.index("doc_id")]).alias("doc_id"), "_row", "n", "fp", "same")
+    best = marked.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"))
+    distinct = materialize(best.select(F.col("first.row").alias("row"), "first", "n", "fp"), "distinct")
+    links = Copies(stored.withColumnRenamed(hidden[text], "_text"), distinct, similarity, shingle).links()
     members = materialize(distinct.select("row", "first").join(connected_components(links).withColumnRenamed("node", "row"), "row"), "members")
     least = members.groupBy("component").agg(F.min("first").alias("least"))
     losers = members.join(least, "component").where("first <> least").select("row")
     chosen = materialize(distinct.select("row").join(losers, "row", "left_anti").select(F.col("row").alias("_row")), "chosen")
-    kept = stored.join(chosen.hint("shuffle_hash"), "_row", "left_semi")
+    discard(links, members, distinct)
+    kept = stored.join(chosen.hint("shuffle_hash"), "_row", "left_semi")  # one plan at every size: rows are dealt, not broadcast
     return kept.select(*[F.col(h).alias(c) for c, h in zip(own, hidden)])
+
+
+def marks(text: str | None, shingle: int) -> tuple[np.ndarray, int]:
+    """The set of shingles, and the fingerprint of that set."""
+    hashes = shingle_set(text, shingle)
+    if not len(hashes):
+        return hashes, 0
+    bits = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return hashes, int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
