@@ -100,6 +100,11 @@ def runs_of_lines(lines: Column, step: float = C.FONT_STEP) -> Column:
     return F.aggregate(lines, none, step_on, lambda s: s["runs"])
 
 
+def long_enough(text: Column) -> Column:
+    """Text of over three characters, blanks around it not counted."""
+    return F.length(strip(text)) > C.SHORTEST_TEXT
+
+
 def split_runs(placed: DataFrame) -> DataFrame:
     """Blocks (doc_id, page_no, pos, text, font, bold, left, top, right, bottom, kind), one for each run of like lines.
 
@@ -115,7 +120,7 @@ def split_runs(placed: DataFrame) -> DataFrame:
     one = ran.withColumn("run", F.explode(F.when(image, F.array(F.lit(0))).otherwise(F.array_distinct("_runs"))))
     own = F.transform(F.filter(F.arrays_zip(F.col("_lines").alias("l"), F.col("_runs").alias("r")), lambda z: z["r"] == F.col("run")), lambda z: z["l"])
     raw_text = strip(F.array_join(F.transform("_own", lambda l: l["text"]), "\n"))
-    parts = one.withColumn("_own", own).withColumn("_text", F.when(~image, raw_text)).where(image | (F.length("_text") > C.SHORTEST_TEXT))
+    parts = one.withColumn("_own", own).withColumn("_text", F.when(~image, raw_text)).where(image | long_enough(F.col("_text")))
     first = F.get("_own", F.lit(0))
     box = lambda f, c: F.when(image, F.col(c)).otherwise(f(F.col("_own")[c]))
     every = parts.select(

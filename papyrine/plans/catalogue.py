@@ -50,7 +50,7 @@ def q_filter_band(spark, sf_dir):
 
 @query("WITH " + P.RAW + r" SELECT doc_id, seq::BIGINT AS seq FROM raw WHERE length(regexp_replace(txt, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) > 3")
 def q_filter_short(spark, sf_dir):
-    return P.raw(spark, sf_dir).where(F.length(T.strip("txt")) > C.SHORTEST_TEXT).select("doc_id", F.col("seq").cast("long"))
+    return P.raw(spark, sf_dir).where(layout.long_enough(F.col("txt"))).select("doc_id", F.col("seq").cast("long"))
 
 
 @query(
@@ -171,6 +171,20 @@ def q_ocr_gate(spark, sf_dir):
     return ocr.need_ocr(kept, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
 
 
+@query(
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL), "
+    "o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k, t FROM l WHERE n % 3 = 0), e AS (SELECT doc_id, n + 1 AS pos, t FROM l WHERE n % 3 <> 0), "
+    "m AS (SELECT doc_id, max(pos) AS p FROM e GROUP BY doc_id) "
+    "SELECT doc_id, pos::BIGINT AS pos, t AS text FROM e UNION ALL SELECT o.doc_id, (k + coalesce(p, 0))::BIGINT, t FROM o LEFT JOIN m ON o.doc_id = m.doc_id"
+)
+def q_ocr_union(spark, sf_dir):
+    """Blocks of the extractor, then those of OCR, every third line being read off an image."""
+    x = P.lines(spark, sf_dir).withColumnRenamed("txt", "text")
+    found = x.where("n % 3 <> 0").select("doc_id", (F.col("n") + 1).cast("long").alias("pos"), "text")
+    read = x.where("n % 3 = 0").select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")).cast("long").alias("pos"), "text")
+    return ocr.add_ocr(found, read)
+
+
 @query("SELECT doc_id, n::BIGINT AS page_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL) WHERE n % 3 = 0 OR trim(t) = ''")
 def q_page_ocr_gate(spark, sf_dir):
     """Pages without text, a line being a page and every third one a scan."""

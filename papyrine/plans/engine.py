@@ -26,7 +26,8 @@ class Engine:
     decoder: bytes to (raw block dicts, full text). ocr: documents without text to OCR blocks in the engine's form.
     layout_detector: documents to detections. equation_detector: documents to detector boxes with raw_latex.
     crossref: (doi) to (doi, message). llm: (doc_id, page_text) to (doc_id, title, authors, abstract). vlm: tables (doc_id,
-    file, page_no and box) to (doc_id, file, reply). staging: a folder for intermediate tables that all executors share; the
+    file, page_no and box) to (doc_id, file, reply). renderer: visuals (the same columns) to (doc_id, file, content), which
+    are written under `images`, by default a folder beside a run's output. staging: a folder for intermediate tables that all executors share; the
     blocks, which many operators read, are stored there instead of being laid out anew for each.
     """
 
@@ -39,10 +40,12 @@ class Engine:
     crossref: Rows | None = None
     llm: Rows | None = None
     vlm: Rows | None = None
+    renderer: Rows | None = None
     staging: str | None = None
     offline: bool = False
     extract_images: bool = True
     options: dict = field(default_factory=dict)
+    images: str | None = None
     written: list = field(default_factory=list, init=False, repr=False)
 
     def blocks(self, raw_blocks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -88,6 +91,8 @@ class Engine:
         if self.extract_images and self.layout_detector is not None:
             found = visuals.detections(self.layout_detector(docs))
             replies = None if self.vlm is None else self.vlm(found.where("pool = 'table'").select("doc_id", "file", "page_no", "left", "top", "right", "bottom"))
+            if self.renderer is not None and self.images is not None:
+                self.stored(sinks.write_images(self.renderer(found.select("doc_id", "file", "page_no", "left", "top", "right", "bottom")), self.images), "images")
             items = visuals.read_tables(visuals.assign_captions(found, visuals.captions(blocks)), replies)
             for pool, name in (("figure", "figures"), ("table", "tables")):
                 listed = items.where(F.col("pool") == pool).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "id", "caption", "page_no", "left", "top", "right", "bottom", "file", "data"))).alias(name))
@@ -139,8 +144,8 @@ class Engine:
         names = raw.list_files(self.spark, path)
         known = sinks.exists(self.spark, output) and sinks.next_batch(self.spark, output) > 0
         done = gold.read_stems(self.spark, output).select(F.col("stem").alias("name")) if known else self.spark.createDataFrame([], "name string")
-        before, at, own = self.staging, sinks.next_batch(self.spark, output), output.rstrip("/") + "-staging"
-        self.staging = before or own
+        before, at, own = (self.staging, self.images), sinks.next_batch(self.spark, output), output.rstrip("/") + "-staging"
+        self.staging, self.images = self.staging or own, self.images or sinks.uri(self.spark, output.rstrip("/") + "-images")
         try:
             skipped = self.stored(status.skipped(names.select("name"), done, "name").select(F.col("name").alias("doc_id")), "skipped") if not overwrite else self.spark.createDataFrame([], "doc_id string")
             wanted = self.stored(status.pending(names.select("path", "name"), done, "name", overwrite).select("path"), "wanted")
@@ -150,8 +155,8 @@ class Engine:
             sinks.write_status(told.unionByName(old), log, at)
         finally:
             self.clear()
-            self.staging = before
-            if before is None:
+            self.staging, self.images = before
+            if self.staging is None:
                 system, where = sinks.file_system(self.spark, own)
                 system.delete(where, True)
         return self.spark.read.schema("doc_id string, status string, missing array<string>, error string, seconds double").parquet(f"{log}/batch={at}").orderBy("doc_id")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +63,12 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def uri(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as libraries other than Spark want it."""
+    system, where = file_system(spark, path)
+    return system.makeQualified(where).toString().replace("file:/", "file:///", 1) if "://" not in path else path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     system, where = file_system(spark, path)
     return system.exists(where)
@@ -80,6 +91,25 @@ def write_documents(documents: DataFrame, path: str, key: str = "doc_id", batch:
     rows.select(F.col("json").alias("value")).write.mode("overwrite").text(f"{path}/batch={batch}")
 
 
+def write_images(images: DataFrame, path: str) -> DataFrame:
+    """Write rows (doc_id, file, content) as files under path/doc_id; returns (doc_id, file, bytes). Each is written whole
+    under a draft name first, so a retried task leaves no half of one."""
+
+    def run(batches):
+        system, base = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for doc, name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                folder = f"{base}/{doc}"
+                system.create_dir(folder, recursive=True)
+                draft = f"{folder}/{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(draft) as out:
+                    out.write(content or b"")
+                system.move(draft, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pc.binary_length(batch.column(2)).cast(pa.int64())], names=["doc_id", "file", "bytes"])
+
+    return images.select(F.col("doc_id").cast("string"), "file", F.col("content").cast("binary")).mapInArrow(run, "doc_id string, file string, bytes long")
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report with three decimals, as JSON lines."""
     report.select("field", *[F.bround(c, 3).alias(c) for c in ("precision", "recall", "f1")], "support").coalesce(1).write.mode("overwrite").json(path)

@@ -99,6 +99,40 @@ def test_visuals_and_tables_reach_the_document(spark, tmp_path):
     assert doc.figures[0].id == "Figure 1" and doc.figures[0].page == 1 and doc.figures[0].panels[0].img_path == doc.figures[0].img_path
 
 
+def test_images_are_written(spark, tmp_path):
+    detect = lambda docs: docs.selectExpr("doc_id", "1 page_no", "0 det_seq", "'figure' class", "1.0D left", "1.0D top", "2.0D right", "2.0D bottom")
+    draw = lambda items: items.selectExpr("doc_id", "file", "cast(concat(doc_id, page_no) as binary) content")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_text("text of it")
+    Engine(spark, 2024, decoder=decoder, layout_detector=detect, renderer=draw).run(str(tmp_path / "in"), str(tmp_path / "out"))
+    assert (tmp_path / "out-images" / "a" / "fig_1_p1.png").read_text() == "a1" and len(list((tmp_path / "out-images").rglob("*.*"))) <= 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from papyrine.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    files(tmp_path / "in")
+    asked = ["--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--as-of-year", "2024", "--plugin-decoder", "test_engine:decoder", "--offline", "--no-llm"]
+    assert main(asked, spark) == 0
+    said = capsys.readouterr().out
+    assert "a: success" in said and "broken file" in said and "total 3" in said
+    assert main([*asked[:1], str(tmp_path / "none"), *asked[2:]], spark) == 1
+
+
+def test_report_is_written_with_three_decimals(spark, tmp_path):
+    report = spark.createDataFrame([("title", 2 / 3, 1.0, 0.8, 3)], "field string, precision double, recall double, f1 double, support int")
+    sinks.write_report(report, str(tmp_path / "report"))
+    assert [json.loads(x.value) for x in spark.read.text(str(tmp_path / "report")).collect()] == [{"field": "title", "precision": 0.667, "recall": 1.0, "f1": 0.8, "support": 3}]
+
+
+def test_sections_mark_in_texts(spark):
+    """Texts that look like the tree's mark stay as they are."""
+    docs = spark.createDataFrame([(1, '"@sections@"}', '[{"heading": "@sections@"}]')], "doc_id int, title string, sections string")
+    for pretty in (True, False):
+        assert json.loads(sinks.document_json(docs, pretty=pretty).head().json) == {"title": '"@sections@"}', "sections": [{"heading": "@sections@"}]}
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.txt").write_text("no pdf")

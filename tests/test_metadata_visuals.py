@@ -92,3 +92,17 @@ def test_summary(spark):
     r = status.summarize(rows, 15.0).head()
     assert (r.total, r.success, r.partial, r.errors, r.skipped, r.total_seconds, r.avg_seconds) == (4, 1, 1, 1, 1, 15.0, 2.0)
     assert status.summarize(rows.limit(0), 0.0).head().avg_seconds == 0.0
+
+
+def test_empty_latex(spark):
+    crops = spark.createDataFrame([(1, "x=1 \\\\tag{2}"), (2, " "), (3, None)], "eq_no int, raw_latex string")
+    assert [(r.eq_no, r.id) for r in visuals.equations(crops).collect()] == [(1, "(2)")]
+    assert sorted((r.eq_no, r.latex == "") for r in visuals.equations(crops, ocr_available=False).collect()) == [(1, False), (2, True), (3, True)]
+
+
+def test_ocr_blocks_count_on(spark):
+    from papyrine.operators import ocr
+
+    have = spark.createDataFrame([(1, 1, "a"), (1, 4, "b"), (2, 1, "c")], "doc_id int, pos int, text string")
+    read = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (3, 1, "z")], "doc_id int, pos int, text string")
+    assert sorted(tuple(r) for r in ocr.add_ocr(have, read).collect()) == [(1, 1, "a"), (1, 4, "b"), (1, 5, "x"), (1, 6, "y"), (2, 1, "c"), (3, 1, "z")]
