@@ -208,7 +208,12 @@ def read_archives(manifest: DataFrame, folder: str, split: int = SPLIT, payloads
 
 
 def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
-    """Write every page and read the archives back; one row per page. An empty table gives an empty result."""
+    """Write every page and read the archives back; one row per page.
+
+    A null or empty page has an empty payload and is a response; a null url has no target; repeated rows stay repeated;
+    a long page is one record, read whole by the task in whose range it starts; other columns are not read. An empty
+    table gives an empty result.
+    """
     folder = new_path(pages.sparkSession, "warc")
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     return read_archives(write_archives(marked(pages), folder), folder, payloads=payloads)
