@@ -743,15 +743,17 @@ def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) of items whose whole text stands in a document.
 
     An item can only stand where its longest word does, give or take what its ends touch; the equi-join on inner words
-    replaces comparing all pairs. Items of fewer than three words have no inner word and are searched for as they are.
+    replaces comparing all pairs, and texts are only fetched for the pairs it leaves. Items of fewer than three words have no
+    inner word and are searched for as they are. Repeated documents give repeated rows.
     """
     word = lambda c: F.split(F.col(c), r"\s+")
     told = items.where(F.length(F.trim("text")) > 0).select("item_id", F.col("text").alias("item"), F.slice(word("text"), 2, F.greatest(F.size(word("text")) - 2, F.lit(0))).alias("inner"))
     longest = F.get(F.sort_array(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), F.lit(0))["w"]
     keyed = told.withColumn("key", F.when(F.size("inner") > 0, longest))
     texts = docs.where("text is not null").select("doc_id", "text")
-    spread = texts.select("doc_id", "text", F.explode(F.array_distinct(word("text"))).alias("key"))
-    wanted = spread.join(keyed.where("key is not null"), "key").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    spread = texts.select("doc_id", F.explode(F.array_distinct(word("text"))).alias("key"))
+    pairs = spread.join(keyed.where("key is not null").select("item_id", "item", "key"), "key").select("item_id", "item", "doc_id").distinct()
+    wanted = texts.join(pairs, "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
     short = keyed.where("key is null")
     direct = texts.join(short, F.contains("text", F.col("item"))).select("item_id", "doc_id")
     return wanted.unionByName(direct)
