@@ -36,6 +36,7 @@ CAPTION_KINDS = {
     "table": "Table", "таблица": "Table",
 }
 
+# Distances in points, shares, lengths and resolutions of the rules.
 MARGIN = 50.0
 SPANNING = 0.7
 COLUMN_TOLERANCE = 2.0
@@ -52,5 +53,6 @@ RATIO_THRESHOLD = 0.85
 EQUATION_ZOOM = 3.0
 CROP_PAD = 5
 OCR_DPI = 200
+# Fields that a report always has, and the confidence of each source of metadata.
 CORE_FIELDS = ("title", "doi", "year", "journal", "authors")
 CONFIDENCE = {"crossref": 0.9, "hybrid": 0.6, "pdf": 0.4, "none": 0.2}

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from papyrine.functions import constants as C
 
+# Patterns of DOIs, years, affiliation marks, captions and equation tags.
 DOI = r"10\.\d{4,9}/[-._;()/:a-zA-Z0-9]+"
 DOI_PAIR = rf"(?i)(?=10\.)(?:(?<=doi\.org/|doi:\s{{0,6}}|doi\s{{0,7}})({DOI})|({DOI}))"
 YEAR_CONTEXT = r"(?s)\b((?:19|20)\d{2})\b(?<=(\A.{0,43}|.{44}))(?=(.{0,40}))"

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from papyrine.functions import constants as C
 from papyrine.functions.text import let, starts_with_any, strip
 
+# Patterns of numbered headings, quantities, what may follow references, and captions.
 NUMBERED = r"(?i)^((?:Section\s+)?S\d+|(?:\d+\.)+\d*|\d+\.?|[IVX]+\.)[\s\-]+(.+)"
 UNITS = r"(?i)^[\d\s.,\-]+(?:mM|cm|mm|mV|mA|h|min|s|kΩ|µm)?$"
 IN_REFERENCES = r"^(appendix|supplementary|section\s+s|s\d+)"
