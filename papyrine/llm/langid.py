@@ -28,6 +28,7 @@ SCRIPTS = {
 NAMES = (*SCRIPTS, "other")
 BUCKETS = 1 << 17
 CACHE_WORDS = 200_000
+TASKS = 16  # that count the sample, which arrives in one
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, spans string, known double"
 
 
@@ -67,6 +68,19 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
 
 
+def portions(words: list[str], most: int = 1_000_000):
+    """The words in lists of at most `most` characters, or of one longer word: what grams() takes at a time."""
+    part, size = [], 0
+    for w in words:
+        if part and size + len(w) + 2 > most:
+            yield part
+            part, size = [], 0
+        part.append(w)
+        size += len(w) + 2
+    if part:
+        yield part
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -112,7 +126,7 @@ def train(docs: DataFrame, sample_rows: int = 6000) -> Model:
     Texts are read whole; each task sends one row for each language and bucket, so the driver gets a bounded table.
     """
     rest = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    chosen = sample_docs(rest, sample_rows).select("text", "lang")
+    chosen = sample_docs(rest, sample_rows).select("text", "lang").repartition(TASKS)
 
     def count(batches):
         tally: dict[str, Counter] = {}
@@ -122,11 +136,7 @@ def train(docs: DataFrame, sample_rows: int = 6000) -> Model:
         for lang, words in tally.items():
             letters = np.zeros(len(NAMES))
             sums = np.zeros(BUCKETS)
-            listed = list(words)
-            for at in range(0, len(listed), 20000):
-                part = [w for w in listed[at : at + 20000] if script_of(w) >= 0]
-                if not part:
-                    continue
+            for part in portions([w for w in words if script_of(w) >= 0]):
                 owner, bucket = grams(part)
                 times = np.array([words[w] for w in part], dtype=float)
                 sums += np.bincount(bucket, weights=times[owner], minlength=BUCKETS)
@@ -205,7 +215,7 @@ class Labeller:
         fresh = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in self.seen]
         base = len(self.seen)
         self.seen.update((w, base + i) for i, w in enumerate(fresh))
-        parts = [self.model.score(fresh[i : i + 20000]) for i in range(0, len(fresh), 20000)]
+        parts = [self.model.score(part) for part in portions(fresh)]
         self.matrix = np.concatenate([self.matrix, *(p[0] for p in parts)])
         self.familiar = np.concatenate([self.familiar, *(p[1] for p in parts)])
         self.weight = np.concatenate([self.weight, np.array([sum(map(str.isalpha, w)) for w in fresh], dtype=float)])
