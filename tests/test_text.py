@@ -88,3 +88,19 @@ def test_matches(spark):
         assert (r.f, r.e) == (r.fuzzy, r.exact)
     rows = spark.createDataFrame([("the quick brown fox", "the quick brown fix", True), ("abc", "xyz", False), ("", "", False)], "p string, g string, y boolean")
     assert all(r.m == r.y for r in rows.select("*", T.ratio_match(F.col("p"), F.col("g")).alias("m")).collect())
+
+
+def test_ratio_of_long_texts(spark):
+    """Texts of over 200 characters, where frequent characters no longer start a match."""
+    import random
+    from difflib import SequenceMatcher
+
+    r, pairs = random.Random(4), []
+    for k in range(60):
+        words = ["".join(r.choice("etaoin") if k % 3 == 0 else chr(0x4E00 + r.randint(0, 4000)) for _ in range(r.randint(4, 7))) for _ in range(r.randint(45, 90))]
+        other = [w if r.random() > 0.02 * r.randint(0, 9) else w[::-1] for w in words]
+        pairs.append((" ".join(words), " ".join(other)))
+    wanted = [SequenceMatcher(None, p, g).ratio() >= 0.85 for p, g in pairs]
+    assert 5 < sum(wanted) < 55 and all(len(p) > 200 for p, _ in pairs)
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], "i int, p string, g string").select("i", T.ratio_match(F.col("p"), F.col("g")).alias("m"))
+    assert [r.m for r in rows.orderBy("i").collect()] == [p == g or w for (p, g), w in zip(pairs, wanted)]
