@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from papyrine.operators import ocr, status
+from papyrine.operators import evaluate, ocr, status
 from papyrine.plans.engine import Engine
 from papyrine.sources import gold, raw, sinks
 from papyrine.streaming.ingest import ingest
@@ -54,10 +54,9 @@ def test_run_read_report(spark, tmp_path):
     got = {r.stem: r for r in docs.collect()}
     assert set(got) == {"E", "a"} and got["a"].metadata.authors == ["Lee, Ann"] and got["a"].metadata.abstract == "short of it"
     assert json.loads(got["a"].sections)[0]["heading"].startswith("A long") and "body text of a" in got["a"].raw_text
-    predicted = docs.select("stem", "metadata.*", F.size("figures").alias("figures"))
-    wanted = spark.createDataFrame([("a", "A long enough title for this very paper", "10.1000/ABC", 2020)], "stem string, title string, doi string, year int")
-    both = predicted.select("stem", F.col("title").alias("p_title"), "doi", "year").join(wanted.select("stem", F.col("title").alias("g_title")), "stem").head()
-    assert both.p_title == both.g_title
+    wanted = spark.createDataFrame([("a", "A Long Enough Title for this very paper", "10.1000/ABC", 2020, ["Lee, Ann", "Bo, Day"]), ("z", "missing", "10.1/z", 2001, [])], "stem string, title string, doi string, year int, authors array<string>")
+    report = {r.field: (r.precision, r.recall, r.support) for r in evaluate.report(evaluate.pair(wanted, evaluate.predictions(docs)), fields=("title", "doi", "year", "authors")).collect()}
+    assert report["title"] == report["doi"] == report["year"] and report["doi"][0] == 1.0 and report["authors"][:2] == (1.0, 0.5)
     # Written again, a document's last version counts.
     Engine(spark, 2010, decoder=decoder).run(str(source), out, overwrite=True)
     again = {r.stem: r.metadata.year for r in gold.read_documents(spark, out).collect()}

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from papyrine.operators import evaluate
-from papyrine.sources.gold import read_documents
+from papyrine.sources.gold import read_document_files
 
 SCHEMA = "stem string, title string, doi string, year int, journal string, abstract string, authors array<string>, keywords array<string>, sections array<string>, figures int, tables int, equations int"
 
@@ -51,5 +51,5 @@ def test_predictions_of_documents(spark, tmp_path):
     tree = [{"heading": "A", "subsections": [{"heading": "B", "subsections": []}, {"heading": "", "subsections": [{"heading": "C"}]}]}, {"heading": "D"}]
     doc = {"metadata": {"title": "T", "authors": ["X, Y"], "year": 2001, "keywords": []}, "sections": tree, "figures": [{"id": "Figure 1"}], "tables": [], "equations": None, "raw_text": "t"}
     (tmp_path / "paper.json").write_text(json.dumps(doc))
-    r = evaluate.predictions(read_documents(spark, str(tmp_path / "*.json"))).head()
+    r = evaluate.predictions(read_document_files(spark, str(tmp_path / "*.json"))).head()
     assert (r.stem, r.title, r.sections, r.figures, r.tables, r.equations) == ("paper", "T", ["A", "B", "C", "D"], 1, 0, 0)
