@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import connected_components, discard, materialize, sample_docs
+from papyrine.llm.common import batches_of, connected_components, discard, materialize, sample_docs
 
 ROWS = 1 << 20  # of shards that a task builds and searches together; a larger shard is taken alone
 FRONT = 2_000_000  # (query, node) pairs looked at together
 SLOTS = 1 << 26  # bits of the map of rows
 SPREAD, FEW = 22, 16  # bits by which fingerprints of near copies may differ; sets below FEW shingles are not told by them
 HOT = 32  # rows of a group from which cells are compared, not pairs
-CELL = 256, 1024  # rows of a cell
+CELL = 128, 512  # rows of a cell
 COLUMNS = 4096  # shingles that a product takes together
 _digest = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -278,8 +278,8 @@ class Copies:
         shingle = self.shingle
 
         def run(batch):
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["row", "set"])
 
         return materialize(self.texts(rows, run, "row long, set binary"), "sets")
@@ -304,8 +304,8 @@ class Copies:
 
         def prefixes(batch):
             rows, tokens, sizes = batch.column(0).to_numpy(), [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, shingle)
+            for value in batch.column(1):
+                s = shingle_set(value.as_py(), shingle)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     s = s[np.argsort(np.where(frequent[at] == s, counts[at], 0), kind="stable")]
@@ -356,7 +356,8 @@ class Copies:
 
         sets = self.sets(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))))
         x, y = (sets.select(F.col("row").alias(r), F.col("set").alias(f"set_{r}")) for r in ("a", "b"))
-        found = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links")
+        with batches_of(pairs.sparkSession, 128):
+            found = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links")
         discard(sets)
         return found
 
