@@ -28,7 +28,7 @@ SCRIPTS = {
 NAMES = (*SCRIPTS, "other")
 BUCKETS = 1 << 17
 CACHE_WORDS = 200_000
-TASKS = 16  # that count the sample, which arrives in one
+TEXTS, CHARS = 1024, 3_000_000  # labelled together, one longer text alone
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, spans string, known double"
 
 
@@ -126,7 +126,7 @@ def train(docs: DataFrame, sample_rows: int = 6000) -> Model:
     Texts are read whole; each task sends one row for each language and bucket, so the driver gets a bounded table.
     """
     rest = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    chosen = sample_docs(rest, sample_rows).select("text", "lang").repartition(TASKS)
+    chosen = sample_docs(rest, sample_rows).select("text", "lang")
 
     def count(batches):
         tally: dict[str, Counter] = {}
@@ -258,7 +258,7 @@ def identify(docs: DataFrame, model: Model | None = None, penalty: float = 6.0)
             at = 0
             while at < len(texts):
                 size, end = 0, at
-                while end < len(texts) and (end == at or size < 8_000_000) and end - at < 2048:
+                while end < len(texts) and (end == at or size < CHARS) and end - at < TEXTS:
                     size += len(texts[end] or "")
                     end += 1
                 found += labeller.label(texts[at:end])
@@ -283,7 +283,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, penalty: float
             texts, found, at = batch.column(batch.schema.get_field_index("text")).to_pylist(), [], 0
             while at < len(texts):
                 size, end = 0, at
-                while end < len(texts) and (end == at or size < 8_000_000) and end - at < 2048:
+                while end < len(texts) and (end == at or size < CHARS) and end - at < TEXTS:
                     size += len(texts[end] or "")
                     end += 1
                 found += labeller.label(texts[at:end])
