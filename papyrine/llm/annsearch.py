@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from papyrine.llm.common import materialize, sample_docs
 
-CENTROIDS = 256  # a half, and a fourth of the sample at most
+CENTROIDS = 128  # a half, and a fourth of the sample at most
 SAMPLE = 20_000
 UNITS, UNIT_ROWS = 128, 1 << 16  # units at least, rows of one at most
 NEAR = 1e-9  # what products of matrices may be off, for they depend on the shape
