@@ -56,17 +56,18 @@ class MultiIndex:
     def walk(self, first: np.ndarray, second: np.ndarray, sizes: dict[int, int], enough: float) -> tuple[list[int], float]:
         """Cells that hold rows, nearest first, until they hold `enough`, and the summed distance of the last."""
         a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-        heap, seen, out, held, far = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0, 0.0
+        near, other, rows, columns = first[a].tolist(), second[b].tolist(), (a * self.k).tolist(), b.tolist()
+        heap, out, held, far = [(near[0] + other[0], 0, 0)], [], 0, 0.0
         while heap and held < enough:
             far, i, j = heapq.heappop(heap)
-            cell = int(a[i]) * self.k + int(b[j])
+            cell = rows[i] + columns[j]
             if n := sizes.get(cell, 0):
                 out.append(cell)
                 held += n
-            for p, q in ((i + 1, j), (i, j + 1)):
-                if p < len(a) and q < len(b) and (p, q) not in seen:
-                    seen.add((p, q))
-                    heapq.heappush(heap, (first[a[p]] + second[b[q]], p, q))
+            if j + 1 < len(columns):  # each pair is pushed once: along its row, and rows from their first pair on
+                heapq.heappush(heap, (near[i] + other[j + 1], i, j + 1))
+            if not j and i + 1 < len(rows):
+                heapq.heappush(heap, (near[i + 1] + other[0], i + 1, 0))
         return out, far
 
 
