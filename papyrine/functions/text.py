@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -215,17 +217,27 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-def clean_markup(x: Text) -> Column:
+def _unescape_ended_in(text: str) -> str:
+    return re.sub(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", lambda m: html.unescape(m[0]) if m[1][0] == "#" or f"{m[1]};" in html5 else m[0], text)
+
+
+@F.pandas_udf(T.StringType())
+def _unescape_ended(values: pd.Series) -> pd.Series:
+    return values.map(_unescape_ended_in, na_action="ignore")
+
+
+def clean_markup(x: Text, ended: bool = False) -> Column:
     """Tags dropped, entities decoded, white space squeezed; what is left empty becomes null, '' stays ''.
 
     Texts that hold none but common entities are decoded by replacement, only others go to a library of all of them.
+    That library, as browsers do, also decodes some names that lack their semicolon; ended=True leaves these.
     """
     bare = F.regexp_replace(col(x), "<[^>]+>", "")
     y = bare
     for entity, char in ENTITIES.items():
         y = F.replace(y, F.lit(f"&{entity};"), F.lit(char))
     other = bare.rlike(rf"&(?!(?:{'|'.join(ENTITIES)});)(?:#|[A-Za-z])")
-    y = F.coalesce(_unescape(F.when(other, bare)), y)
+    y = F.coalesce((_unescape_ended if ended else _unescape)(F.when(other, bare)), y)
     y = strip(F.regexp_replace(y, r"(?U)\s+", " "))
     return F.when(col(x) == "", F.lit("")).otherwise(F.nullif(y, F.lit("")))
 

@@ -49,6 +49,11 @@ def test_cascade_of_dois_that_hold_a_year(spark, tmp_path):
     against_sql(spark, tmp_path, "q_cascade", documents=(sorted(set(rows)), "doc_id long, text string"))
 
 
+def test_markup_of_names_without_a_semicolon(spark, tmp_path):
+    pages = [(1, "<p>der&amp;&amp;&amp<style>{margin:0}</style></p>"), (2, "a &lt;b&gt; &amp c &copy d &middot; &quot;e&quot; AT&T"), (3, None), (4, "<p> </p>")]
+    against_sql(spark, tmp_path, "q_markup", pages=(pages, "page_id long, html string"))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -59,6 +59,12 @@ def test_markup(spark):
     assert got == ["a é b é c é d α≤β &eacute;", "AT&T \u00acanentity; &", "x … & y"]
 
 
+def test_markup_with_ended_entities(spark):
+    given = ["a&amp;&amp<b>{x}", "&amp &copy &eacute; &lt;", "&notanentity; &#233; &#xE9; &#233 &amp;lt;", None, ""]
+    got = values(spark, given, lambda x: T.clean_markup(x, ended=True))
+    assert got == ["a&&amp{x}", "&amp &copy é <", "&notanentity; é é &#233 &lt;", None, ""]
+
+
 def test_latex(spark):
     inputs = [r"E=mc^2 \quad \tag{1}", r"a ~~(5)", r"b\,(12)", "plain"]
     assert values(spark, inputs, T.clean_latex) == [r"E=mc^2 \tag{1}", "a (5)", "b (12)", "plain"]
