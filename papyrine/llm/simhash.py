@@ -22,6 +22,7 @@ from papyrine.llm.common import batches_of, connected_components, discard, mater
 ROWS = 1 << 20  # of shards that a task builds and searches together; a larger shard is taken alone
 FRONT = 2_000_000  # (query, node) pairs looked at together
 SLOTS = 1 << 26  # bits of the map of rows
+CLOSE = 3  # bits by which the fingerprints differ that blocks bring together
 SPREAD, FEW = 22, 16  # bits by which fingerprints of near copies may differ; sets below FEW shingles are not told by them
 HOT = 32  # rows of a group from which cells are compared, not pairs
 CELL = 128, 512  # rows of a cell
@@ -64,7 +65,7 @@ class Forest:
     """
 
     def __init__(self, shards: np.ndarray, values: np.ndarray):
-        """Values must be distinct within a shard and the rows sorted by shard."""
+        """Rows must be sorted by shard; equal values of a shard stand below each other, so that many make a deep tree."""
         self.values = values
         n = len(values)
         new = np.ones(n, dtype=bool)
@@ -101,7 +102,7 @@ class Forest:
                 hit = (d <= radius) & (query > node)
                 if hit.any():
                     yield query[hit], node[hit]
-                a = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 1), side="left")
+                a = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 0), side="left")
                 b = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), side="right")
                 count = np.maximum(b - a, 0)
                 query = np.repeat(query, count)
@@ -148,22 +149,71 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(values[some]), pa.array(values[labels[some]])], names=["a", "b"])
 
     def run(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            held.append(tuple(c.to_numpy() for c in batch.columns))
-            if sum(len(h[0]) for h in held) < ROWS:
-                continue
-            block, value, fp = (np.concatenate([h[i] for h in held]) for i in range(3))
-            cut = int(np.argmax((block == block[-1]) & (value == value[-1])))  # the last shard may go on
-            held = [(block[cut:], value[cut:], fp[cut:])]
-            if cut:
-                yield from linked(block[:cut], value[:cut], fp[:cut])
-        if held:
-            yield from linked(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+        for columns in whole_shards(batches, 2):
+            yield from linked(*columns)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def whole_shards(batches, keys: int):
+    """The columns of about ROWS sorted rows at a time; a shard, told by the first `keys` columns, is not cut."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        if sum(len(h[0]) for h in held) < ROWS:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held)]
+        cut = int(np.argmax(np.logical_and.reduce([k == k[-1] for k in columns[:keys]])))  # the last shard may go on
+        held = [[c[cut:] for c in columns]]
+        if cut:
+            yield [c[:cut] for c in columns]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def candidates(shard: np.ndarray, n: np.ndarray, fp: np.ndarray, similarity: float):
+    """Positions (i, j) of pairs of a shard that sizes and fingerprints do not rule out, found in its BK-tree; in chunks.
+
+    Rows are sorted by shard. Sets below FEW shingles are not told by fingerprints: they have a tree of equal values.
+    """
+    few = np.flatnonzero(similarity * n <= FEW)
+    at, tree, value = np.concatenate([np.arange(len(n)), few]), np.concatenate([2 * shard, 2 * shard[few] + 1]), np.concatenate([fp.view(np.uint64), np.zeros(len(few), np.uint64)])
+    order = np.argsort(tree, kind="stable")
+    at, tree = at[order], tree[order]
+    for i, j in Forest(tree, value[order]).pairs(SPREAD):
+        low, high = np.minimum(n[at[i]], n[at[j]]), np.maximum(n[at[i]], n[at[j]])
+        held = (low >= similarity * high - 1e-9) & ((tree[i] & 1 == 0) | (low < FEW))
+        yield at[i[held]], at[j[held]]
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A set of hashes as a map of four to eight bits for each, a power of two in all."""
+    size = 1 << max(6, (4 * len(hashes)).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, n: int, y: bytes, m: int) -> int:
+    """Members that two sets of n and m share at most, by their bitmaps: common bits, and what either has beyond its bits."""
+    a, b = (folded(v, min(len(x), len(y))) for v in (x, y))
+    return (a & b).bit_count() + min(n - a.bit_count(), m - b.bit_count())
+
+
+def folded(raw: bytes, size: int) -> int:
+    """A bitmap as a number, made as small as a map of so many bytes."""
+    value, width = int.from_bytes(raw, "little"), 8 * len(raw)
+    while width > 8 * size:
+        width >>= 1
+        value = value & ((1 << width) - 1) | value >> width
+    return value
+
+
+def reach(both: float, n: int, m: int, similarity: float) -> bool:
+    """Two sets of n and m that share `both` have the Jaccard similarity."""
+    return both >= similarity * (n + m - both) - 1e-9
+
+
 def components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -241,14 +291,18 @@ def alike(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> np.nda
 class Copies:
     """Near-duplicate links between documents stored as (_row, _text) with one row for each distinct set of shingles.
 
-    Two sets of the wanted similarity share one of the first n - ceil(similarity * n) + 1 shingles of either in any one
-    order of all shingles; here those that are frequent in a bounded sample come last, then by their hashes. Rows that
-    share such a shingle form its group. First each row is compared with one row of the group (another for each of eight
-    classes of groups); that joins most of what belongs together. Then, in groups that hold several components, rows
-    outside the largest are compared with all others: one by one, or in cells of bounded size where the largest is large.
-    So no link between components is lost, and rows already linked are not paired again. A pair is compared exactly,
-    unless its sizes or over SPREAD bits of its SimHash fingerprints rule it out (at similarity 0.8 some 10 of 64 bits
-    differ, with a deviation of 3).
+    Fingerprints within CLOSE bits are linked through the forest of their blocks, as in links(). At similarity 0.8 some
+    10 of 64 bits differ, with a deviation of 3; for SPREAD bits a block would be two or three bits wide. So for the rest
+    a shard is not a block but a shingle: two sets of the wanted similarity share one of the first
+    n - ceil(similarity * n) + 1 shingles of either in any one order of all shingles; here those that are frequent in a
+    bounded sample come last, then by their hashes. Each row is compared with one row of each of its shards (another for
+    each of eight classes of shards); that joins most of what belongs together. Then the BK-tree of each shard that holds
+    several components gives the pairs of fingerprints within SPREAD bits. In large shards rows outside the largest
+    component are dealt with all others to cells of bounded size, which have a tree each. So no link between components
+    is lost, but for the one in 10^5 beyond SPREAD bits, and rows already linked are not paired again.
+
+    Pairs are checked exactly by their sets. Before that bitmaps, a tenth of the size, rule out pairs that cannot share
+    enough shingles; that loses none.
     """
 
     def __init__(self, stored: DataFrame, distinct: DataFrame, similarity: float, shingle: int):
@@ -274,13 +328,14 @@ class Copies:
 
         return self.stored.select(F.col("_row").alias("row"), "_text").select("row", "_text", slot.alias("s")).mapInArrow(run, schema)
 
-    def sets(self, rows: DataFrame) -> DataFrame:
+    def sets(self, rows: DataFrame, form=np.ndarray.tobytes) -> DataFrame:
+        """(row, set) of the rows, and of few others, in that form."""
         shingle = self.shingle
 
         def run(batch):
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["row", "set"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([form(shingle_set(t, shingle)) for t in some.column(1).to_pylist()], pa.binary())], names=["row", "set"])
 
         return materialize(self.texts(rows, run, "row long, set binary"), "sets")
 
@@ -298,8 +353,8 @@ class Copies:
         order = np.argsort(tokens)
         return tokens[order], counts[order]
 
-    def groups(self) -> DataFrame:
-        """(token, row, n, fp) of the prefix shingles that two rows or more share."""
+    def groups(self, named: DataFrame) -> DataFrame:
+        """(token, row, n, fp, component) of the prefix shingles that two rows or more share; named: (row, component)."""
         similarity, shingle, (frequent, counts) = self.similarity, self.shingle, self.frequent()
 
         def prefixes(batch):
@@ -332,7 +387,8 @@ class Copies:
 
         dealt = self.texts(self.distinct.select("row"), prefixes, "token long, row long").repartition("token").sortWithinPartitions("token")
         found = materialize(dealt.mapInArrow(shared, "token long, row long"), "groups")
-        told = materialize(found.join(self.distinct.select("row", "n", "fp"), "row").select("token", "row", "n", "fp"), "groups")
+        told = found.join(self.distinct.select("row", "n", "fp"), "row").join(named, "row", "left")
+        told = materialize(told.select("token", "row", "n", "fp", F.coalesce("component", "row").alias("component")), "groups")
         discard(found)
         return told
 
@@ -343,67 +399,122 @@ class Copies:
         return (F.least(n, m) >= self.similarity * F.greatest(n, m) - 1e-9) & ((apart <= SPREAD) | (F.least(n, m) < FEW))
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """Links (a, b) among candidate pairs, by their sets."""
+        """Links (a, b) among candidate pairs, by their sets; first by bitmaps, of which far less is dealt."""
         similarity = self.similarity
 
+        def mapped(batches):
+            for batch in batches:
+                sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([bitmap(x) for x in sets], pa.binary())], names=["row", "n", "bits"])
+
+        def likely(batches):
+            for batch in batches:
+                hit = [reach(most_shared(x, n, y, m), n, m, similarity) for n, x, m, y in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
         def compare(batches):
             for batch in batches:
                 hit = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                    hit.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
+                    hit.append(reach(both, len(x) // 8, len(y) // 8, similarity))
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
         sets = self.sets(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))))
         x, y = (sets.select(F.col("row").alias(r), F.col("set").alias(f"set_{r}")) for r in ("a", "b"))
         with batches_of(pairs.sparkSession, 128):
-            found = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links")
-        discard(sets)
+            maps = sets.mapInArrow(mapped, "row long, n int, bits binary")
+            p, q = (maps.select(F.col("row").alias(r), F.col("n").alias(f"n_{r}"), F.col("bits").alias(f"bits_{r}")) for r in ("a", "b"))
+            left = materialize(pairs.join(p, "a").join(q, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(likely, "a long, b long"), "likely")
+            found = materialize(left.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links")
+        discard(sets, left)
         return found
 
+    def close(self) -> DataFrame:
+        """Pairs (a, b) of rows that span what CLOSE bits of the fingerprints link."""
+        prints = materialize(self.distinct.groupBy("fp").agg(F.min("row").alias("row")), "prints")
+        found = materialize(links(prints.select("fp"), CLOSE), "links")
+        a, b = (prints.select(F.col("fp").alias(x), F.col("row").alias(f"row_{x}")) for x in ("a", "b"))
+        spanned = found.join(a, "a").join(b, "b").select("row_a", "row_b")
+        equal = self.distinct.select("fp", "row").join(prints.select("fp", F.col("row").alias("least")), "fp").where("row <> least").select("least", "row")
+        pairs = materialize(spanned.union(equal).toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        discard(prints, found)
+        return pairs
+
+    def in_trees(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of rows of a shard (token) and of two components, from the shard's BK-tree."""
+        similarity = self.similarity
+
+        def run(batches):
+            for token, row, n, fp, component in whole_shards(batches, 1):
+                shard = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]]), dtype=np.int64)
+                for i, j in candidates(shard, n, fp, similarity):
+                    apart = component[i] != component[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(f(row[i[apart]], row[j[apart]])) for f in (np.minimum, np.maximum)], names=["a", "b"])
+
+        dealt = rows.select("token", "row", "n", "fp", "component").repartition("token").sortWithinPartitions("token")
+        return dealt.mapInArrow(run, "a long, b long").distinct()
+
     def in_cells(self, units: DataFrame) -> DataFrame:
-        """Links between rows of a unit (dom) of which one is outside its largest component, by cells of bounded size."""
+        """Pairs (a, b) of rows of a unit (dom) and of two components, of which one is outside its largest.
+
+        They come from the BK-trees of cells of bounded size, and their bitmaps do not rule them out.
+        """
         similarity = self.similarity
         parts = units.groupBy("dom").agg(F.ceil(F.sum(F.col("out").cast("long")) / CELL[0]).cast("int").alias("down"), F.ceil(F.count(F.lit(1)) / CELL[1]).cast("int").alias("across"))
-        sets = self.sets(units.select("row"))
-        held = units.join(parts, "dom").join(sets, "row")
+        maps = self.sets(units.select("row"), bitmap)
+        held = units.join(parts, "dom").join(maps, "row")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         mine = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-        left = held.where("out").select("dom", mine("down").alias("i"), every("across").alias("j"), "row", "set", F.lit(True).alias("left"))
-        right = held.select("dom", every("down").alias("i"), mine("across").alias("j"), "row", "set", F.lit(False).alias("left"))
-
-        def compare(cell: pa.Table) -> pa.Table:
-            rows, sets, is_left = cell["row"].to_numpy(), [np.frombuffer(s, np.uint64) for s in cell["set"].to_pylist()], cell["left"].to_numpy()
-            x, y = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-            hit = alike([sets[i] for i in x], [sets[i] for i in y], similarity) if len(x) and len(y) else np.empty((0, 2), np.int64)
-            a, b = rows[x[hit[:, 0]]], rows[y[hit[:, 1]]]
-            return pa.table([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
-
-        found = materialize(left.union(right).groupBy("dom", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
-        discard(sets)
-        return found
+        own = ["row", "n", "fp", "component", F.col("set").alias("bits")]
+        left = held.where("out").select("dom", mine("down").alias("i"), every("across").alias("j"), *own, F.lit(True).alias("left"))
+        right = held.select("dom", every("down").alias("i"), mine("across").alias("j"), *own, F.lit(False).alias("left"))
+
+        def search(cell: pa.Table) -> pa.Table:
+            row, at = np.unique(cell["row"].to_numpy(), return_index=True)
+            n, fp, component = (cell[c].to_numpy()[at] for c in ("n", "fp", "component"))
+            sides = [np.isin(row, cell["row"].to_numpy()[cell["left"].to_numpy() == x]) for x in (True, False)]
+            bits, found = cell["bits"].take(pa.array(at)).to_pylist(), [np.empty((0, 2), np.int64)]
+            for i, j in candidates(np.zeros(len(row), np.int64), n, fp, similarity):
+                asked = (component[i] != component[j]) & (sides[0][i] & sides[1][j] | sides[0][j] & sides[1][i])
+                pairs = np.stack([i[asked], j[asked]], axis=1)
+                hit = [reach(most_shared(bits[x], int(n[x]), bits[y], int(n[y])), int(n[x]), int(n[y]), similarity) for x, y in pairs.tolist()]
+                found.append(np.sort(row[pairs[np.array(hit, dtype=bool)]], axis=1))
+            return pa.table([pa.array(c) for c in np.unique(np.concatenate(found), axis=0).T.copy()], names=["a", "b"])
+
+        pairs = materialize(left.union(right).groupBy("dom", "i", "j").applyInArrow(search, "a long, b long").distinct(), "pairs")
+        discard(maps)
+        return pairs
 
     def links(self) -> DataFrame:
         """Links (a, b) that give the components of all pairs of the similarity."""
-        rows = self.groups()
-        leader = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.col("token").bitwiseAND(F.lit(7).cast("long"))).alias("h"), "row", "n", "fp")).alias("l")).select("token", "l.row", "l.n", "l.fp")
         ends = [F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")]
-        star = rows.alias("a").join(leader.alias("b"), F.expr("a.token = b.token and a.row <> b.row") & self.may("a", "b")).select(*ends).distinct()
-        star = materialize(star, "pairs")
-        near = self.compared(star)
+        pairs = self.close()
+        near = self.compared(pairs)
+        discard(pairs)
         named = connected_components(near).withColumnRenamed("node", "row")
-        told = materialize(rows.join(named, "row", "left").select("token", "row", "n", "fp", F.coalesce("component", "row").alias("component")), "told")
+        rows = self.groups(named)
+        leader = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.col("token").bitwiseAND(F.lit(7).cast("long"))).alias("h"), "row", "n", "fp", "component")).alias("l")).select("token", "l.row", "l.n", "l.fp", "l.component")
+        star = materialize(rows.alias("a").join(leader.alias("b"), F.expr("a.token = b.token and a.component <> b.component") & self.may("a", "b")).select(*ends).distinct(), "pairs")
+        joined = self.compared(star)
+        discard(star)
+        both = materialize(near.union(joined), "links")
+        discard(near, joined)
+        named = connected_components(both).withColumnRenamed("node", "row")
+        told = materialize(rows.drop("component").join(named, "row", "left").select("token", "row", "n", "fp", F.coalesce("component", "row").alias("component")), "told")
+        discard(rows)
         counts = told.groupBy("token", "component").count().groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("held"), F.max(F.struct("count", "component")).alias("top"))
         mixed = counts.where("parts > 1").select("token", F.col("top.component").alias("dom"), "held")
         open_ = materialize(told.join(mixed, "token").withColumn("out", F.col("component") != F.col("dom")), "open")
-        discard(rows, star, told)
-        few = open_.where(F.col("held") < HOT)
-        cold = materialize(few.where("out").alias("a").join(few.alias("b"), F.expr("a.token = b.token and a.component <> b.component") & self.may("a", "b")).select(*ends).distinct(), "pairs")
-        hot = materialize(open_.where(F.col("held") >= HOT).groupBy("dom", "row").agg(F.max("out").alias("out")), "units")
+        discard(told)
+        cold = materialize(self.in_trees(open_.where(F.col("held") < HOT)), "pairs")
+        units = materialize(open_.where(F.col("held") >= HOT).groupBy("dom", "row").agg(*[F.max(c).alias(c) for c in ("out", "n", "fp", "component")]), "units")
         discard(open_)
-        parts = near, self.compared(cold), self.in_cells(hot)
-        every = materialize(parts[0].union(parts[1]).union(parts[2]), "links")
-        discard(cold, hot, *parts)
+        hot = self.in_cells(units)
+        discard(units)
+        rest = self.compared(cold.union(hot).distinct())
+        every = materialize(both.union(rest), "links")
+        discard(cold, hot, both, rest)
         return every
 
 

@@ -604,6 +604,53 @@ def test_alike_counts_like_sets(monkeypatch):
     assert {tuple(p) for p in simhash.alike(x, y, 0.5).tolist()} == wanted
 
 
+def test_bitmaps_lose_no_pair():
+    r = np.random.default_rng(2)
+    for n, m, both in ((0, 0, 0), (0, 40, 0), (1, 1, 1), (16, 20, 16), (60, 70, 55), (300, 250, 240), (2000, 1700, 900), (511, 513, 400)):
+        pool = np.unique(r.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + m - both]]))
+        most = simhash.most_shared(simhash.bitmap(x), len(x), simhash.bitmap(y), len(y))
+        assert both <= most <= min(n, m) and (most - both) <= 0.25 * (n + m)
+
+
+def test_trees_find_every_candidate(monkeypatch):
+    """Pairs of a shard within SPREAD bits or of few shingles, of like size; equal fingerprints are pairs too."""
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(simhash, "FRONT", 500)
+    shard = np.sort(r.integers(0, 6, 150))
+    n, fp = r.integers(10, 40, 150), r.integers(0, 1 << 62, 12)[r.integers(0, 12, 150)] ^ (1 << r.integers(0, 60, 150)) * (r.random(150) < 0.7)
+    wanted = set()
+    for i in range(150):
+        for j in range(i):
+            low, high = sorted((int(n[i]), int(n[j])))
+            if shard[i] == shard[j] and low >= 0.8 * high - 1e-9 and (low < simhash.FEW or (int(fp[i]) ^ int(fp[j])).bit_count() <= simhash.SPREAD):
+                wanted.add((j, i))
+    found = {tuple(sorted(p)) for i, j in simhash.candidates(shard, n, fp, 0.8) for p in zip(i.tolist(), j.tolist())}
+    assert found == wanted and len(wanted) > 100
+
+
+def test_near_copies_of_long_texts_in_a_hot_group(spark, monkeypatch):
+    """All texts are alike below the similarity, some have near copies: bitmaps rule out the other pairs only."""
+    monkeypatch.setattr(simhash, "CELL", (8, 16))
+    r, made = np.random.default_rng(8), []
+    base = r.integers(0, 5000, 1500).astype(str)
+    for _ in range(60):
+        own, at = base.copy(), r.choice(1500, 110, replace=False)
+        own[at] = [f"w{k}" for k in r.integers(0, 1 << 40, 110)]
+        made.append(own.tolist())
+    for k in (3, 7, 20):
+        made.append(["changed", *made[k][1:]])
+        made.append([*made[k][:1400], *(f"{k}x{j}" for j in range(100))])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(3)
+    kept = {x.doc_id for x in simhash.drop_near_copies(docs).collect()}
+    sets = [simhash.shingle_set(" ".join(w)) for w in made]
+    top = list(range(len(made)))
+    for i, j in simhash.alike(sets, sets, 0.8).tolist():
+        low, high = sorted((top[i], top[j]))
+        top = [low if t == high else t for t in top]
+    assert kept == {i for i, t in enumerate(top) if i == t} and 50 < len(kept) < len(made)
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     made = []
