@@ -255,12 +255,8 @@ def filled(codes: list[bytes], folds: pa.ListArray) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, keep: tuple[str, ...] = ("doc_id",), cache: dict[str, bytes] | None = None) -> DataFrame:
-    """The columns in `keep` and `ids`, the token ids of each whole text as little-endian 32-bit integers, in one pass.
-
-    A null or empty text has no ids. Repeated rows stay repeated; an empty table gives an empty result; a kept column
-    may have any name. A word of any length is folded.
-    """
+def folded(docs: DataFrame, vocabulary: Vocabulary, pattern: str, keep: tuple[str, ...], cache: dict[str, bytes] | None = None) -> DataFrame:
+    """The columns in `keep` as _in0, _in1 and so on, `codes`, ids of known words and gaps, and `folds`, which fill the gaps."""
     sent = docs.sparkSession.sparkContext.broadcast(word_cache(docs, vocabulary, pattern) if cache is None else cache)
     hidden = [f"_in{i}" for i in range(len(keep))]
     single_ids = vocabulary.single_ids
@@ -282,17 +278,32 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, keep: tuple[st
                     rests.append([list(map(single, w.encode())) for w in rest])
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(parts, pa.binary()), pa.array(rests, pa.list_(pa.list_(pa.int64())))], names=[*hidden, "codes", "rest"])
 
-    def fill(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                ids = filled(some.column(len(hidden)).to_pylist(), some.column(len(hidden) + 1))
-                yield pa.RecordBatch.from_arrays([*some.columns[:-2], pa.array(ids, pa.binary())], names=[*hidden, "ids"])
-
     texts = docs.select(F.col("text").alias("_text"), *[F.col(c).alias(h) for c, h in zip(keep, hidden)])
     coded = texts.mapInArrow(split, T.StructType([*kinds, T.StructField("codes", T.BinaryType()), T.StructField("rest", T.ArrayType(T.ArrayType(T.LongType())))]))
-    folded = coded.select(*hidden, "codes", F.transform("rest", vocabulary.merged).alias("folds"))
-    return folded.mapInArrow(fill, T.StructType([*kinds, T.StructField("ids", T.BinaryType())])).toDF(*keep, "ids")
+    return coded.select(*hidden, "codes", F.transform("rest", vocabulary.merged).alias("folds"))
+
+
+def ids_of(batches):
+    """The kept columns and the ids of ROWS rows of folded() at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            yield some.columns[:-2], filled(some.column(some.num_columns - 2).to_pylist(), some.column(some.num_columns - 1))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, keep: tuple[str, ...] = ("doc_id",), cache: dict[str, bytes] | None = None) -> DataFrame:
+    """The columns in `keep` and `ids`, the token ids of each whole text as little-endian 32-bit integers, in one pass.
+
+    A null or empty text has no ids. Repeated rows stay repeated; an empty table gives an empty result; a kept column
+    may have any name. A word of any length is folded.
+    """
+    coded = folded(docs, vocabulary, pattern, keep, cache)
+
+    def fill(batches):
+        for kept, ids in ids_of(batches):
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary())], names=[*(f"_in{i}" for i in range(len(kept))), "ids"])
+
+    return coded.mapInArrow(fill, T.StructType([*coded.schema.fields[:-2], T.StructField("ids", T.BinaryType())])).toDF(*keep, "ids")
 
 
 def decoded(ids: bytes, pieces: list[bytes]) -> bytes:
@@ -318,15 +329,15 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> DataFrame:
 
     A null or empty text has no tokens and the digests of nothing; repeated rows stay repeated.
     """
-    sent, encoded = docs.sparkSession.sparkContext.broadcast(vocabulary.pieces), encode(docs, vocabulary, pattern)
+    sent, coded = docs.sparkSession.sparkContext.broadcast(vocabulary.pieces), folded(docs, vocabulary, pattern, ("doc_id",))
 
+    # Ids are filled in and hashed in one Python process, so that they don't travel once more.
     def run(batches):
         pieces = sent.value
         decimal = list(map(str, range(len(pieces)))).__getitem__
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
+        for kept, ids in ids_of(batches):
             text = [hashlib.sha256(" ".join(map(decimal, np.frombuffer(x, "<i4").tolist())).encode()).hexdigest() for x in ids]
             back = [hashlib.sha256(decoded(x, pieces)).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) >> 2 for x in ids], pa.int64()), pa.array(text), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) >> 2 for x in ids], pa.int64()), pa.array(text, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.withColumn("_in0", F.col("_in0").cast("long")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
