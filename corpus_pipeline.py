@@ -38,7 +38,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, ids as their CRC-32; each document is packed whole, a null text as its end alone."""
-    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=False)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -245,8 +245,12 @@ class Packer:
             yield from self.close()
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """row (task and position), doc_id and ids as little-endian unsigned 16-bit integers."""
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, keep_words: bool = True) -> DataFrame:
+    """row (task and position), doc_id and ids as little-endian unsigned 16-bit integers.
+
+    A Python worker keeps its cache of words for its next task, or else drops it at the end of each: idle workers that
+    have tokenised hold some 100 MB, which stages of other operators lack.
+    """
 
     def run(batches):
         tokenizer, row = tokenizer_for(tokenizer_path), TaskContext.get().partitionId() << 33
@@ -258,6 +262,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 rows = np.arange(row, row + len(raws))
                 row += len(raws)
                 yield pa.RecordBatch.from_arrays([pa.array(rows), some.column(0), pa.array(raws, pa.binary())], names=["row", "doc_id", "ids"])
+        if not keep_words:
+            _tokenizers.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, ids binary")
 
@@ -349,7 +355,7 @@ def dealt(tokens: DataFrame, idf: np.ndarray, docs: int, size: int) -> DataFrame
     return routed.repartitionById(ranges, "part").sortWithinPartitions("place", "row").select("doc_id", "ids")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW, keep_words: bool = True) -> DataFrame:
     """Pieces of all documents packed into sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
     ids are little-endian unsigned 32-bit integers; a document's ids end with `end_id`, a null or empty text has that
@@ -357,9 +363,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
     null, long texts are cut where a window is full; a document longer than a shard is a shard of its own. Equal
     documents are dealt by a salt, so that a hot group spreads over ranges. Sequence ids are unique; other columns are
     not read. An empty table gives an empty result. Tokens are stored, and the order of a range is fixed, so that a
-    retried task gives the same rows.
+    retried task gives the same rows. For keep_words see tokenised().
     """
-    tokens = materialize(tokenised(docs, tokenizer_path, end_id), "tokens")
+    tokens = materialize(tokenised(docs, tokenizer_path, end_id, keep_words), "tokens")
     df, n, size = counted(tokens)
     names = SCHEMA.replace(" long", "").replace(" binary", "").split(", ")
     if not n:
