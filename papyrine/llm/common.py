@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,13 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system; idle workers would hold it beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sample_docs(docs: DataFrame, rows: int, id_col: str = "doc_id", limit: bool = True) -> DataFrame:
     """About `rows` documents, at most twice as many where `limit` is set, chosen by the hash of their id.
 

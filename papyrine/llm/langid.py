@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import sample_docs
+from papyrine.llm.common import give_back, sample_docs
 
 # Unicode ranges of the scripts told apart (first and last code point); letters elsewhere are "other".
 SCRIPTS = {
@@ -280,14 +280,18 @@ def keep_identified(docs: DataFrame, model: Model | None = None, penalty: float
     def run(batches):
         labeller = Labeller(model, penalty)
         for batch in batches:
-            texts, found, at = batch.column(batch.schema.get_field_index("text")).to_pylist(), [], 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size < CHARS) and end - at < TEXTS:
-                    size += len(texts[end] or "")
-                    end += 1
-                found += labeller.label(texts[at:end])
-                at = end
+            column, found = batch.column(batch.schema.get_field_index("text")), []
+            for first in range(0, batch.num_rows, TEXTS):  # so many texts are Python's at once, not the whole batch
+                texts, at = column.slice(first, TEXTS).to_pylist(), 0
+                while at < len(texts):
+                    size, end = 0, at
+                    while end < len(texts) and (end == at or size < CHARS):
+                        size += len(texts[end] or "")
+                        end += 1
+                    found += labeller.label(texts[at:end])
+                    at = end
             yield batch.filter(pa.array([k != "und" and s >= least and known >= least_known for k, s, _, known in found], pa.bool_()))
+        del labeller
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import materialize
+from papyrine.llm.common import give_back, materialize
 
 WINDOW = 4096
 SHARD_TOKENS, SHARD_DOCS = 2_000_000, 1 << 14  # of one index, which a task builds and drops before the next
@@ -264,6 +264,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, keep_words: boo
                 yield pa.RecordBatch.from_arrays([pa.array(rows), some.column(0), pa.array(raws, pa.binary())], names=["row", "doc_id", "ids"])
         if not keep_words:
             _tokenizers.clear()
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, ids binary")
 
@@ -401,6 +402,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
         if keys:
             yield from emit(packer.block(keys, ids, Index(ids, idf, mean)))
         yield from emit(packer.finish())
+        del packer, keys, ids
+        give_back()
 
     return dealt(tokens, idf, n, size).mapInArrow(fill, SCHEMA)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import batches_of, connected_components, discard, materialize, sample_docs
+from papyrine.llm.common import batches_of, connected_components, discard, give_back, materialize, sample_docs
 
 ROWS = 1 << 20  # of shards that a task builds and searches together; a larger shard is taken alone
 FRONT = 2_000_000  # (query, node) pairs looked at together
@@ -26,6 +26,7 @@ CLOSE = 3  # bits by which the fingerprints differ that blocks bring together
 SPREAD, FEW = 22, 16  # bits by which fingerprints of near copies may differ; sets below FEW shingles are not told by them
 HOT = 32  # rows of a group from which cells are compared, not pairs
 CELL = 128, 512  # rows of a cell
+WIDE = 2048  # shingles that the rows of a cell hold each, as a mean
 COLUMNS = 4096  # shingles that a product takes together
 _digest = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -269,21 +270,31 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([_digest(r) for r in runs], dtype=np.uint64))
 
 
-def alike(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Positions (i, j) of all sets x[i], y[j] of that Jaccard similarity, by products over the shingles both sides hold."""
-    flat = [np.concatenate(v) for v in (x, y)]
-    owner = [np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (x, y)]
+def in_both(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many members the sets x[i], y[j] share, for all i and j, by products over the shingles both sides hold."""
+    flat, owner = [np.concatenate(v) for v in (x, y)], []
     shared = np.intersect1d(*flat)
+    for k, v in enumerate((x, y)):
+        column = np.minimum(np.searchsorted(shared, flat[k]), max(len(shared) - 1, 0))
+        held = np.flatnonzero(shared[column] == flat[k]) if len(shared) else np.empty(0, np.int64)
+        held = held[np.argsort(column[held], kind="stable")]
+        flat[k] = column[held]
+        owner.append(np.repeat(np.arange(len(v)), [len(s) for s in v])[held])
     both = np.zeros((len(x), len(y)), dtype=np.float32)
     for at in range(0, len(shared), COLUMNS):
-        some, sides = shared[at : at + COLUMNS], []
-        for values, who, n in zip(flat, owner, (len(x), len(y))):
-            column = np.minimum(np.searchsorted(some, values), len(some) - 1)
-            held = some[column] == values
-            side = np.zeros((n, len(some)), dtype=np.float32)
-            side[who[held], column[held]] = 1
+        sides = []
+        for column, who, n in zip(flat, owner, both.shape):
+            lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+            side = np.zeros((n, min(COLUMNS, len(shared) - at)), dtype=np.float32)
+            side[who[lo:hi], column[lo:hi] - at] = 1
             sides.append(side)
         both += sides[0] @ sides[1].T
+    return both
+
+
+def alike(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Positions (i, j) of all sets x[i], y[j] of that Jaccard similarity."""
+    both = in_both(x, y)
     sizes = [np.array([len(s) for s in v], dtype=np.float64) for v in (x, y)]
     return np.argwhere(both >= similarity * (sizes[0][:, None] + sizes[1] - both) - 1e-9)
 
@@ -302,7 +313,8 @@ class Copies:
     is lost, but for the one in 10^5 beyond SPREAD bits, and rows already linked are not paired again.
 
     Pairs are checked exactly by their sets. Before that bitmaps, a tenth of the size, rule out pairs that cannot share
-    enough shingles; that loses none.
+    enough shingles; that loses none. A cell holds the sets, checks its pairs itself and gives one link for each
+    component that it joins to another: pairs of a large group are neither stored nor joined.
     """
 
     def __init__(self, stored: DataFrame, distinct: DataFrame, similarity: float, shingle: int):
@@ -325,6 +337,7 @@ class Copies:
                 held = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
                 if held.any():
                     yield from task(batch.filter(pa.array(held)))
+            give_back()
 
         return self.stored.select(F.col("_row").alias("row"), "_text").select("row", "_text", slot.alias("s")).mapInArrow(run, schema)
 
@@ -455,36 +468,72 @@ class Copies:
         dealt = rows.select("token", "row", "n", "fp", "component").repartition("token").sortWithinPartitions("token")
         return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    def in_cells(self, units: DataFrame) -> DataFrame:
-        """Pairs (a, b) of rows of a unit (dom) and of two components, of which one is outside its largest.
-
-        They come from the BK-trees of cells of bounded size, and their bitmaps do not rule them out.
-        """
-        similarity = self.similarity
-        parts = units.groupBy("dom").agg(F.ceil(F.sum(F.col("out").cast("long")) / CELL[0]).cast("int").alias("down"), F.ceil(F.count(F.lit(1)) / CELL[1]).cast("int").alias("across"))
-        maps = self.sets(units.select("row"), bitmap)
-        held = units.join(parts, "dom").join(maps, "row")
+    def cells(self, units: DataFrame, sets: DataFrame, wide: int):
+        """Rows of a unit (dom) outside its largest component, grouped with all others to cells of bounded size."""
+        out = F.col("out").cast("long")
+        parts = lambda rows, cell: F.ceil(F.greatest(F.sum(rows) / cell, F.sum(rows * F.col("n")) / (cell * wide))).cast("int")
+        parts = units.groupBy("dom").agg(parts(out, CELL[0]).alias("down"), parts(F.lit(1), CELL[1]).alias("across"))
+        held = units.join(parts, "dom").join(sets, "row")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         mine = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-        own = ["row", "n", "fp", "component", F.col("set").alias("bits")]
+        own = ["row", "n", "fp", "component", "set"]
         left = held.where("out").select("dom", mine("down").alias("i"), every("across").alias("j"), *own, F.lit(True).alias("left"))
         right = held.select("dom", every("down").alias("i"), mine("across").alias("j"), *own, F.lit(False).alias("left"))
+        return left.union(right).groupBy("dom", "i", "j")
 
-        def search(cell: pa.Table) -> pa.Table:
+    def in_cells(self, units: DataFrame) -> DataFrame:
+        """Links (a, b) that join the components which similar rows of a unit (dom) link, one of them outside its largest.
+
+        Pairs come from the BK-trees of cells. First only bitmaps are dealt; rows without a pair that these leave go. The
+        pairs of the others are checked in their cells by the sets. Of the links of a cell those stay that span them,
+        between components, so that they grow with the components, not with the pairs.
+        """
+        similarity = self.similarity
+
+        def read(cell: pa.Table):
             row, at = np.unique(cell["row"].to_numpy(), return_index=True)
             n, fp, component = (cell[c].to_numpy()[at] for c in ("n", "fp", "component"))
             sides = [np.isin(row, cell["row"].to_numpy()[cell["left"].to_numpy() == x]) for x in (True, False)]
-            bits, found = cell["bits"].take(pa.array(at)).to_pylist(), [np.empty((0, 2), np.int64)]
-            for i, j in candidates(np.zeros(len(row), np.int64), n, fp, similarity):
-                asked = (component[i] != component[j]) & (sides[0][i] & sides[1][j] | sides[0][j] & sides[1][i])
-                pairs = np.stack([i[asked], j[asked]], axis=1)
-                hit = [reach(most_shared(bits[x], int(n[x]), bits[y], int(n[y])), int(n[x]), int(n[y]), similarity) for x, y in pairs.tolist()]
-                found.append(np.sort(row[pairs[np.array(hit, dtype=bool)]], axis=1))
-            return pa.table([pa.array(c) for c in np.unique(np.concatenate(found), axis=0).T.copy()], names=["a", "b"])
-
-        pairs = materialize(left.union(right).groupBy("dom", "i", "j").applyInArrow(search, "a long, b long").distinct(), "pairs")
+
+            def pairs():  # of a row at the left and one at the right, of two components
+                for i, j in candidates(np.zeros(len(row), np.int64), n, fp, similarity):
+                    straight = sides[0][i] & sides[1][j]
+                    asked = (component[i] != component[j]) & (straight | sides[0][j] & sides[1][i])
+                    yield np.where(straight, i, j)[asked], np.where(straight, j, i)[asked]
+
+            return row, n, component, cell["set"].take(pa.array(at)).to_pylist(), sides, pairs
+
+        def sift(cell: pa.Table) -> pa.Table:
+            row, n, _, bits, _, pairs = read(cell)
+            left = np.zeros(len(row), dtype=bool)
+            for i, j in pairs():
+                for x, y in zip(i.tolist(), j.tolist()):
+                    if not (left[x] and left[y]) and reach(most_shared(bits[x], int(n[x]), bits[y], int(n[y])), int(n[x]), int(n[y]), similarity):
+                        left[x] = left[y] = True
+            return pa.table([pa.array(np.full(int(left.sum()), cell["dom"][0].as_py(), np.int64)), pa.array(row[left])], names=["dom", "row"])
+
+        def search(cell: pa.Table) -> pa.Table:
+            row, n, component, sets, sides, pairs = read(cell)
+            names, named = np.unique(component, return_inverse=True)
+            labels = np.arange(len(names))
+            if all(side.any() for side in sides):
+                both = in_both(*([np.frombuffer(sets[k], np.uint64) for k in np.flatnonzero(side)] for side in sides))
+                place = [np.cumsum(side) - 1 for side in sides]
+                for i, j in pairs():
+                    share = both[place[0][i], place[1][j]].astype(np.float64)
+                    hit = share >= similarity * (n[i] + n[j] - share) - 1e-9
+                    labels = contract(labels, named[i[hit]], named[j[hit]])
+            moved = np.flatnonzero(labels != np.arange(len(labels)))
+            return pa.table([pa.array(names[labels[moved]]), pa.array(names[moved])], names=["a", "b"])
+
+        maps = self.sets(units.select("row"), bitmap)
+        left = materialize(self.cells(units, maps, 8 * WIDE).applyInArrow(sift, "dom long, row long").distinct(), "sifted")
         discard(maps)
-        return pairs
+        few = materialize(units.join(left, ["dom", "row"], "left_semi"), "units")
+        sets = self.sets(few.select("row"))
+        found = materialize(self.cells(few, sets, WIDE).applyInArrow(search, "a long, b long").distinct(), "links")
+        discard(left, few, sets)
+        return found
 
     def links(self) -> DataFrame:
         """Links (a, b) that give the components of all pairs of the similarity."""
@@ -492,13 +541,14 @@ class Copies:
         pairs = self.close()
         near = self.compared(pairs)
         discard(pairs)
+        span = lambda named: named.where("row <> component").select(F.col("component").alias("a"), F.col("row").alias("b"))
         named = connected_components(near).withColumnRenamed("node", "row")
         rows = self.groups(named)
         leader = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.col("token").bitwiseAND(F.lit(7).cast("long"))).alias("h"), "row", "n", "fp", "component")).alias("l")).select("token", "l.row", "l.n", "l.fp", "l.component")
         star = materialize(rows.alias("a").join(leader.alias("b"), F.expr("a.token = b.token and a.component <> b.component") & self.may("a", "b")).select(*ends).distinct(), "pairs")
         joined = self.compared(star)
         discard(star)
-        both = materialize(near.union(joined), "links")
+        both = materialize(span(named).union(joined), "links")
         discard(near, joined)
         named = connected_components(both).withColumnRenamed("node", "row")
         told = materialize(rows.drop("component").join(named, "row", "left").select("token", "row", "n", "fp", F.coalesce("component", "row").alias("component")), "told")
@@ -512,8 +562,8 @@ class Copies:
         discard(open_)
         hot = self.in_cells(units)
         discard(units)
-        rest = self.compared(cold.union(hot).distinct())
-        every = materialize(both.union(rest), "links")
+        rest = self.compared(cold)
+        every = materialize(span(named).union(rest).union(hot), "links")
         discard(cold, hot, both, rest)
         return every
 
@@ -538,6 +588,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
                 sets, prints = zip(*(marks(t, shingle) for t in some.column(text).to_pylist()))
                 extra = [pa.array([len(s) for s in sets], pa.int32()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *extra], names=names)
+        give_back()
 
     kinds = [T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("same", T.BinaryType())]
     stored = materialize(renamed.mapInArrow(mark, T.StructType([*renamed.schema.fields, *kinds])), "numbered")

@@ -651,6 +651,31 @@ def test_near_copies_of_long_texts_in_a_hot_group(spark, monkeypatch):
     assert kept == {i for i, t in enumerate(top) if i == t} and 50 < len(kept) < len(made)
 
 
+@pytest.mark.parametrize("cell, wide", [((128, 512), 2048), ((16, 32), 2048), ((128, 512), 40)])
+def test_a_hot_group_gives_links_not_pairs(spark, monkeypatch, cell, wide):
+    """1,000 and more pairs of a group are alike: a cell gives one link for each component it joins, none for other pairs."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "WIDE", wide)
+    r = np.random.default_rng(11)
+    words, made = r.integers(0, 5000, 120).astype(str), []
+    for k in range(80):
+        own = words.copy()
+        own[r.choice(120, 1 if k < 50 else 12, replace=False)] = f"w{k}"
+        made.append(" ".join(own))
+    marked = [simhash.marks(t, 5) for t in made]
+    prints = np.array([f for _, f in marked], dtype=np.uint64).view(np.int64).tolist()
+    stored = spark.createDataFrame(list(enumerate(made)), "_row long, _text string")
+    distinct = spark.createDataFrame([(k, len(s), f) for k, ((s, _), f) in enumerate(zip(marked, prints))], "row long, n int, fp long")
+    units = distinct.selectExpr("0L dom", "row", "row > 0 out", "n", "fp", "row component")
+    found = simhash.Copies(stored, distinct, 0.8, 5).in_cells(units).collect()
+    pairs = simhash.alike([s for s, _ in marked], [s for s, _ in marked], 0.8).tolist()
+    near = [(a, b) for a, b in pairs if a < b]
+    top = simhash.contract(np.arange(80), np.array(near)[:, 0], np.array(near)[:, 1])
+    got = simhash.contract(np.arange(80), np.array([x.a for x in found]), np.array([x.b for x in found]))
+    assert (top == got).all() and len(near) > 1000 and len(set(top.tolist())) > 3
+    assert len(found) <= (79 if cell[0] == 128 and wide == 2048 else len(near) // 2)
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     made = []
